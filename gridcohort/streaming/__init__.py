@@ -1,0 +1 @@
+"""Empty on purpose: the work this library covers is batch only."""
