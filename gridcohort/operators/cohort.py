@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import century_month_month, century_month_year, date_from_parts
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from .joins import skew_join
 
 PRE_MONTHS = 9
@@ -94,9 +94,8 @@ def number_keys(df: DataFrame, keys: Sequence[str], out: str, start: int = 0) ->
     the partitions are added up. The numbered table is checkpointed, because the partition layout
     has to be the same for the counts and for the rows.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     ordered = df.select(*keys).distinct().orderBy(*keys)
-    placed = ordered.withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    placed = materialize(ordered.withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     # One row per partition: this window is as small as the job is wide.

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from ..session import materialize
 from .joins import HOT_SHARE, SPLITS, hot_key_hashes
 
 # Up to this many variables the cross-products are one built-in aggregation.
@@ -149,11 +150,11 @@ def _wide_cells(base: DataFrame, group: list[str], names: list[str], drop_single
 
 
 def _sweep(gram: np.ndarray, first: int) -> np.ndarray:
-    """Remove the first variables from all others; one that does not vary is left out."""
+    """Remove the first variables (years, so in whole units) from all others, if they vary."""
     size = gram.diagonal()[:first].copy()
     for a in range(first):
         pivot = gram[a, a]
-        if pivot > 1e-9 * max(size[a], 1e-300) and pivot > 1e-12:
+        if pivot > 1e-9 * size[a] and pivot > 1e-6:
             gram = gram - np.outer(gram[:, a], gram[a, :]) / pivot
     return gram[first:, first:]
 
@@ -239,7 +240,8 @@ def fe_ols(
 
         yield from _frames(rows(), [*keys, "stats"])
 
-    reduced = cells.mapInPandas(swept, _schema(base, keys, "stats"))
+    # One matrix per cell serves the coefficients and the errors: keep it, read the rows once.
+    reduced = materialize(cells.mapInPandas(swept, _schema(base, keys, "stats")))
     totals = vector_sums(reduced, keys, "stats")
 
     def solved(batches):

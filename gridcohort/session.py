@@ -41,3 +41,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="gridcohort-checkpoint-")
     context.setCheckpointDir(named)
     return named
+
+
+def materialize(df):
+    """Write an intermediate result once to the checkpoint folder and go on from there.
+
+    For results that are small next to their input and are used more than once.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
