@@ -26,7 +26,7 @@ def birth_cohort(
 ) -> DataFrame:
     """Birth date, exposure window and interview columns; rows outside the study window, or not
     born 30..``recency_days`` days before the interview, leave. Both limits are strict."""
-    dated = births.dropna("any", [cmc, year, month]).withColumn("birth_date", date_from_parts(year, month))
+    dated = births.dropna(subset=[cmc, year, month]).withColumn("birth_date", date_from_parts(year, month))
     ranged = dated.withColumns(
         {"from_date": F.add_months("birth_date", -pre), "to_date": F.add_months("birth_date", post)}
     ).filter(
@@ -51,7 +51,7 @@ def birth_cohort(
 
 def distinct_points(births: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each (cell, start month) once: exposure is the same for all records that share it."""
-    return births.dropna("any", list(keys)).select(*keys).distinct()
+    return births.dropna(subset=list(keys)).select(*keys).distinct()
 
 
 def survivors(df: DataFrame, age: str, min_age: int) -> DataFrame:

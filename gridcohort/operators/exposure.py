@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import month_index
 from .joins import skew_join
@@ -85,27 +84,35 @@ def period_table(
     return out
 
 
-_DIMENSION = StructType(
-    [
-        StructField("scheme", StringType(), False),
-        StructField("period", StringType(), False),
-        StructField("stat", StringType(), False),
-        StructField("start", IntegerType(), False),
-        StructField("end", IntegerType(), False),
-        StructField("width", IntegerType(), False),
-        StructField("offset", IntegerType(), False),
-    ]
-)
+@dataclass(frozen=True)
+class _Span:
+    """Months that some periods share: one aggregation group serves all of them."""
 
+    start: int
+    end: int
+    width: int
+    moves: bool  # a wK window, which follows the event
 
-def period_offsets(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:
-    """One row per period and month offset. A few hundred rows, fixed by the schemes."""
-    rows = [
-        (p.scheme, p.period, p.stat, p.start, p.end, p.end - p.first + 1, o)
-        for p in periods
-        for o in range(p.first, p.end + 1)
-    ]
-    return spark.createDataFrame(rows, _DIMENSION)
+
+def _spans(periods: Sequence[Period], until_event: bool) -> dict[_Span, list[Period]]:
+    out: dict[_Span, list[Period]] = {}
+    for p in periods:
+        moves = until_event and p.stat[0] == "w"
+        start = p.start if until_event else p.first
+        out.setdefault(_Span(start, p.end, p.end - p.first + 1, moves), []).append(p)
+    return out
+
+
+def period_offsets(spark: SparkSession, periods: Sequence[Period], until_event: bool = False) -> DataFrame:
+    """(span, start, end, width, moves, offset): the months of each distinct span of the periods.
+
+    A few hundred rows, fixed by the schemes. With an event every month that a span can reach.
+    """
+    rows = []
+    for i, s in enumerate(_spans(periods, until_event)):
+        first = max(s.start - s.width + 1, 0) if s.moves else s.start
+        rows += [(i, s.start, s.end, s.width, s.moves, o) for o in range(first, s.end + 1)]
+    return spark.createDataFrame(rows, "span int, start int, end int, width int, moves boolean, offset int")
 
 
 def exposure_window(
@@ -127,8 +134,11 @@ def exposure_window(
     return spelled.join(grid.select(*cell, month, *values), [*cell, month]).drop(month)
 
 
-def _reduce(stat: str, value: Column) -> Column:
-    return {"max": F.max, "min": F.min}.get(stat, F.avg)(value)
+_AGGREGATES = {"avg": F.avg, "max": F.max, "min": F.min}
+
+
+def _aggregate(stat: str) -> str:
+    return stat if stat in _AGGREGATES else "avg"
 
 
 def period_exposure(
@@ -144,42 +154,37 @@ def period_exposure(
 ) -> DataFrame:
     """Long exposures (keys, var, scheme, period, stat, value) of unique points.
 
-    Every month joins the periods that hold its offset (a broadcast of the fixed period table).
-    ``event_offset`` names a point column: a period that starts after it is null, one that holds
-    it ends there, and a wK window moves to end there.
+    Every month joins the spans that hold its offset (a broadcast of the fixed period table), all
+    values and statistics of a span are aggregated together, and only the results are spelled out
+    per variable and period. ``event_offset`` names a point column: a period that starts after it
+    is null, one that holds it ends there, and a wK window moves to end there.
     """
     keys = list(keys or [*cell, start] + ([event_offset] if event_offset else []))
-    long = exposure_window(points.select(*keys).distinct(), grid, values, cell, start=start, month=month).select(
-        *keys,
-        "offset",
-        F.explode(F.array(*[F.struct(F.lit(v).alias("var"), F.col(v).alias("x")) for v in values])).alias("_v"),
-    )
     spark = points.sparkSession
-    if not event_offset:
-        dimension = period_offsets(spark, periods)
-        matched = long.join(F.broadcast(dimension), "offset")
-        stat = F.first("stat")
-        kinds = {p.stat for p in periods} & {"max", "min"}
-        value = F.avg("_v.x")
-        for kind in sorted(kinds):
-            value = F.when(stat == kind, _reduce(kind, F.col("_v.x"))).otherwise(value)
-        return matched.groupBy(*keys, F.col("_v.var").alias("var"), "scheme", "period", "stat").agg(value.alias("value"))
-    # The window end depends on the row, so the table spells out every offset a period can use.
-    spread = [
-        (p.scheme, p.period, p.stat, p.start, p.end, p.end - p.first + 1, o)
-        for p in periods
-        for o in range(max(p.start - (p.end - p.first), 0) if p.stat[0] == "w" else p.start, p.end + 1)
-    ]
-    dimension = spark.createDataFrame(spread, _DIMENSION)
-    stop = F.least("end", F.coalesce(F.col(event_offset), F.col("end")))
-    first = F.when(F.col("stat").startswith("w"), stop - F.col("width") + 1).otherwise(F.col("start"))
-    used = F.when((stop >= F.col("start")) & F.col("offset").between(first, stop), F.col("_v.x"))
-    matched = long.join(F.broadcast(dimension), "offset").withColumn("_x", used)
-    value = F.avg("_x")
-    stat = F.first("stat")
-    for kind in sorted({p.stat for p in periods} & {"max", "min"}):
-        value = F.when(stat == kind, _reduce(kind, F.col("_x"))).otherwise(value)
-    return matched.groupBy(*keys, F.col("_v.var").alias("var"), "scheme", "period", "stat").agg(value.alias("value"))
+    spans = _spans(periods, bool(event_offset))
+    months = exposure_window(points.select(*keys).distinct(), grid, values, cell, start=start, month=month)
+    matched = months.join(F.broadcast(period_offsets(spark, periods, bool(event_offset))), "offset")
+    used = {v: F.col(v) for v in values}
+    if event_offset:
+        stop = F.least("end", F.coalesce(F.col(event_offset), F.col("end")))
+        first = F.when(F.col("moves"), stop - F.col("width") + 1).otherwise(F.col("start"))
+        inside = (stop >= F.col("start")) & F.col("offset").between(first, stop)
+        used = {v: F.when(inside, F.col(v)) for v in values}
+    kinds = sorted({_aggregate(p.stat) for p in periods})
+    totals = matched.groupBy(*keys, "span").agg(
+        *[_AGGREGATES[k](used[v]).alias(f"_{k}{i}") for i, v in enumerate(values) for k in kinds]
+    )
+    served = spark.createDataFrame(
+        [(i, p.scheme, p.period, p.stat, _aggregate(p.stat)) for i, ps in enumerate(spans.values()) for p in ps],
+        "span int, scheme string, period string, stat string, kind string",
+    )
+    chosen = [F.coalesce(*[F.when(F.col("kind") == k, F.col(f"_{k}{i}")) for k in kinds]) for i in range(len(values))]
+    pairs = F.array(*[F.struct(F.lit(v).alias("var"), c.alias("value")) for v, c in zip(values, chosen)])
+    return (
+        totals.join(F.broadcast(served), "span")
+        .select(*keys, "scheme", "period", "stat", F.explode(pairs).alias("_p"))
+        .select(*keys, "_p.var", "scheme", "period", "stat", "_p.value")
+    )
 
 
 def exposure_features(
@@ -209,7 +214,7 @@ def exposure_features(
     )
     order = Window.partitionBy(*cell).orderBy(month_index(F.col(month)))
     frames = {
-        p.name(v): _reduce(p.stat, F.col(v)).over(order.rangeBetween(p.first, p.end)) for p in periods for v in values
+        p.name(v): _AGGREGATES[_aggregate(p.stat)](F.col(v)).over(order.rangeBetween(p.first, p.end)) for p in periods for v in values
     }
     wide = line.select(*cell, month, "_asked", *[c.alias(n) for n, c in frames.items()])
     return wide.filter("_asked").drop("_asked").withColumnRenamed(month, start)

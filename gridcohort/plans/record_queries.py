@@ -157,12 +157,12 @@ def _values_sql(periods) -> str:
     return ", ".join(f"('{p.scheme}', '{p.period}', '{p.stat}', {p.start}, {p.first}, {p.end})" for p in periods)
 
 
-def _long_sql(periods, where: str = "") -> str:
+def _long_sql(periods) -> str:
     return f"""period(scheme, period, stat, start, first, stop) AS (VALUES {_values_sql(periods)}),
     long AS (SELECT *, unnest(['spi1', 'stdm_t']) AS var, unnest([spi1, stdm_t]) AS x FROM seen)
     SELECT cell, from_date, var, scheme, period, stat,
            CASE stat WHEN 'max' THEN max(x) WHEN 'min' THEN min(x) ELSE avg(x) END AS value
-    FROM long JOIN period ON off BETWEEN first AND stop {where} GROUP BY ALL"""
+    FROM long JOIN period ON off BETWEEN first AND stop GROUP BY cell, from_date, var, scheme, period, stat"""
 
 
 @query(
@@ -356,7 +356,7 @@ def nearest_point(spark, d):
     "id:i side:s shock:b",
     f"""WITH {ANALYSIS_SQL}, lim AS (
       SELECT quantile_cont(stdm_t_inutero_b_avg, 0.15) AS lo, quantile_cont(stdm_t_inutero_b_avg, 0.85) AS hi FROM analysis)
-    SELECT id, CASE WHEN mother IN (SELECT mother FROM analysis WHERE age < 12) THEN 'member' ELSE 'other' END AS side,
+    SELECT id, CASE WHEN mother IN (SELECT mother FROM analysis WHERE age < 12 AND stdm_t_inutero_b_avg IS NOT NULL) THEN 'member' ELSE 'other' END AS side,
            coalesce(stdm_t_inutero_b_avg < lo OR stdm_t_inutero_b_avg > hi, false) AS shock
     FROM analysis, lim WHERE stdm_t_inutero_b_avg IS NOT NULL""",
 )
