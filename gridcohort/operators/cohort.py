@@ -91,7 +91,7 @@ def number_keys(df: DataFrame, keys: Sequence[str], out: str, start: int = 0) ->
     """The distinct keys in ascending order with consecutive numbers from ``start``.
 
     The keys are range-partitioned and numbered inside their partition; only the row counts of
-    the partitions are added up. The numbered table is checkpointed, because the partition layout
+    the partitions are added up. The numbered table is written once, because the partition layout
     has to be the same for the counts and for the rows.
     """
     ordered = df.select(*keys).distinct().orderBy(*keys)

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from .quantiles import exact_quantiles
+from .quantiles import many_quantiles
 
 THRESHOLDS = (5, 10, 20, 30, 40, 50, 100)
 
@@ -71,6 +71,7 @@ def column_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def describe_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n, mean, sd, min, p25, p50, p75, max): sample deviation and exact quartiles."""
     c = {name: F.col(name).cast("double") for name in columns}
+    quartiles = many_quantiles(df, c, [0.25, 0.5, 0.75])
     basic = df.agg(
         *[
             F.struct(
@@ -79,7 +80,7 @@ def describe_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 F.avg(x).alias("mean"),
                 F.stddev_samp(x).alias("sd"),
                 F.min(x).alias("min"),
-                *[F.lit(q).alias(p) for p, q in zip(("p25", "p50", "p75"), exact_quantiles(df, x, [0.25, 0.5, 0.75]))],
+                *[F.lit(q).alias(p) for p, q in zip(("p25", "p50", "p75"), quartiles[name])],
                 F.max(x).alias("max"),
             ).alias(f"s{i}")
             for i, (name, x) in enumerate(c.items())

@@ -77,21 +77,40 @@ def _order_statistics(values: DataFrame, ranks: Sequence[int], small: int) -> di
     return found
 
 
-def exact_quantiles(df: DataFrame, col: Column | str, probs: Sequence[float], small: int = SMALL) -> list[float]:
-    """Linear-interpolated quantiles of the non-null values, on the driver."""
-    values = df.select((F.col(col) if isinstance(col, str) else col).cast("double").alias("v")).filter("v IS NOT NULL")
+def many_quantiles(
+    df: DataFrame, columns: dict[str, Column], probs: Sequence[float], small: int = SMALL
+) -> dict[str, list[float]]:
+    """Linear-interpolated quantiles of the non-null values of several columns, on the driver.
+
+    Columns with few distinct values share one aggregation; the others are narrowed one by one.
+    """
     probs = [float(p) for p in probs]
-    n, kinds = values.agg(F.count("*"), F.approx_count_distinct("v")).first()
-    if n == 0:
-        return [math.nan] * len(probs)
-    if kinds <= small:
-        return list(values.agg(F.percentile("v", F.array(*map(F.lit, probs)))).first()[0])
-    places = [p * (n - 1) for p in probs]
-    ranks = {math.floor(x) for x in places} | {math.ceil(x) for x in places}
-    at = _order_statistics(values, sorted(ranks), small)
-    return [
-        at[math.floor(x)] + (at[math.ceil(x)] - at[math.floor(x)]) * (x - math.floor(x)) for x in places
-    ]
+    names = list(columns)
+    values = df.select(*[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    row = values.agg(
+        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
+        *[F.approx_count_distinct(f"v{i}").alias(f"k{i}") for i in range(len(names))],
+    ).first()
+    few = [i for i in range(len(names)) if row[f"k{i}"] <= small]
+    out = {}
+    if few:
+        point = F.array(*map(F.lit, probs))
+        found = values.agg(*[F.percentile(f"v{i}", point).alias(f"q{i}") for i in few]).first()
+        out = {names[i]: list(found[f"q{i}"] or [math.nan] * len(probs)) for i in few}
+    for i in set(range(len(names))) - set(few):
+        places = [p * (row[f"n{i}"] - 1) for p in probs]
+        ranks = {math.floor(x) for x in places} | {math.ceil(x) for x in places}
+        own = values.select(F.col(f"v{i}").alias("v")).filter("v IS NOT NULL")
+        at = _order_statistics(own, sorted(ranks), small)
+        out[names[i]] = [
+            at[math.floor(x)] + (at[math.ceil(x)] - at[math.floor(x)]) * (x - math.floor(x)) for x in places
+        ]
+    return out
+
+
+def exact_quantiles(df: DataFrame, col: Column | str, probs: Sequence[float], small: int = SMALL) -> list[float]:
+    """Quantiles of one column."""
+    return many_quantiles(df, {"v": F.col(col) if isinstance(col, str) else col}, probs, small)["v"]
 
 
 def grouped_quantiles(

@@ -113,7 +113,8 @@ def _wide_cells(base: DataFrame, group: list[str], names: list[str], drop_single
     over their counts; both kinds of rows meet in one pass with a weight. Rows of a hot cell are
     spread over several tasks, and their partial matrices add up afterwards.
     """
-    means = base.agg(*[F.avg(c).alias(c) for c in names]).first()
+    # Any shift gives the same centred products; one near the values keeps the digits.
+    means = base.limit(1000).agg(*[F.avg(c).alias(c) for c in names]).first()
     shift = {c: F.col(c) - F.lit(means[c] or 0.0) for c in names}
     centred = base.select(*group, "_cell", "_month", *[e.alias(c) for c, e in shift.items()])
     sums = centred.groupBy(*group, "_cell", "_month").agg(
@@ -132,7 +133,8 @@ def _wide_cells(base: DataFrame, group: list[str], names: list[str], drop_single
     hot = hot_key_hashes(base, keys, HOT_SHARE)
     part = F.when(F.xxhash64(*keys).isin(hot), F.col("_part")).otherwise(F.lit(0)) if hot else F.lit(0)
     stacked = rows.unionByName(monthly).withColumn("_part", part)
-    spread = stacked.repartition(*keys, "_part").sortWithinPartitions(*keys)
+    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = stacked.repartition(tasks, *keys, "_part").sortWithinPartitions(*keys)
     packed = _packed(len(names))
 
     def products(block: pd.DataFrame) -> np.ndarray:

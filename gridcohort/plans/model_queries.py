@@ -20,6 +20,7 @@ from ..operators.results import (
     significance_summary,
     zero_nonsignificant,
 )
+from ..session import materialize
 from ..sources.reports import ingest_reports, sample_sizes, star_counts
 from .registry import query
 from .roles import ANALYSIS_SQL, ANOMALY_SQL, GRID_SQL, analysis, anomaly_grid, table
@@ -124,7 +125,8 @@ def _survivor_sql() -> str:
 
 
 def _model_input(spark, d) -> DataFrame:
-    return age_dummies(analysis(spark, d), "age", ["biannual"])
+    """The analysis table, written once: every specification reads its own columns of it."""
+    return materialize(age_dummies(analysis(spark, d), "age", ["biannual"]))
 
 
 def _spec(**changes) -> ModelSpec:
@@ -162,7 +164,7 @@ def shock_models(spark, d):
 )
 def spline_bins(spark, d):
     df = analysis(spark, d).filter(F.col(X2).isNotNull()).select("id", X2)
-    made = spline_terms(X2, spline_edges(df, X2, "quartile"))
+    made = spline_terms(X2, spline_edges(df, {X2: F.col(X2)}, "quartile")[X2])
     return df.select("id", *[c.alias(f"q{n[-5]}") for n, c in made.items()])
 
 

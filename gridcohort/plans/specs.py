@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import day_count_bins, negative_part, positive_part
 from ..operators.cohort import survivors
 from ..operators.features import AGE_BINS, parse_feature
-from ..operators.quantiles import exact_quantiles, outside_quantiles
+from ..operators.quantiles import many_quantiles, outside_quantiles
 from ..operators.regression import fe_ols
 
 # Period lists of the standard runs, with the exposure scheme and the age bins of the outcome.
@@ -137,11 +137,12 @@ def model_frame(
 # --- terms -----------------------------------------------------------------
 
 
-def spline_edges(sample: DataFrame, name: str, cut: str) -> list[float]:
+def spline_edges(sample: DataFrame, columns: dict[str, Column], cut: str) -> dict[str, list[float]]:
+    """Three limits per column: its quartiles, or minus, zero and plus one standard deviation."""
     if cut == "quartile":
-        return exact_quantiles(sample, name, [0.25, 0.5, 0.75])
-    sd = sample.agg(F.stddev_samp(name)).first()[0]
-    return [-sd, 0.0, sd]
+        return many_quantiles(sample, columns, [0.25, 0.5, 0.75])
+    row = sample.agg(*[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns.values())]).first()
+    return {name: [-row[f"s{i}"], 0.0, row[f"s{i}"]] for i, name in enumerate(columns)}
 
 
 def spline_terms(name: str, edges: Sequence[float]) -> dict[str, Column]:
@@ -221,19 +222,18 @@ def survivor_models(df: DataFrame, spec: ModelSpec, group: str | None = None, wh
         sample.append(alive)
         alive = alive & (F.col(spec.outcome(period)) == 0)
 
+    entered = [(s, p) for s, period in enumerate(steps) for p in ([*spec.before, period] if s == 0 else [period])]
+    edges = None
+    if spec.family == "spline":
+        # Limits of a period come from the sample in which it first appears; all in one pass.
+        seen = {spec.exposure(v, p): F.when(sample[s], F.col(spec.exposure(v, p))) for s, p in entered for v in spec.variables}
+        edges = spline_edges(frame, seen, spec.cut)
     columns: dict[str, Column] = {}
     first: dict[str, int] = {}
-    for s, period in enumerate(steps):
-        for p in ([*spec.before, period] if s == 0 else [period]):
-            edges = None
-            if spec.family == "spline":
-                edges = {
-                    spec.exposure(v, p): spline_edges(frame.filter(sample[s]), spec.exposure(v, p), spec.cut)
-                    for v in spec.variables
-                }
-            for name, column in terms(spec, p, edges).items():
-                columns[name] = column
-                first.setdefault(name, s)
+    for s, p in entered:
+        for name, column in terms(spec, p, edges).items():
+            columns[name] = column
+            first.setdefault(name, s)
 
     outcome = F.coalesce(*[F.when(F.col("_step") == s, F.col(spec.outcome(p))) for s, p in enumerate(steps)])
     member = F.array_compact(F.array(*[F.when(c, F.lit(s)) for s, c in enumerate(sample)]))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,10 +44,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df):
-    """Write an intermediate result once to the checkpoint folder and go on from there.
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once, as Parquet in the checkpoint folder, and read it from there.
 
-    For results that are small next to their input and are used more than once.
+    For results that several jobs use. It survives lost executors, later jobs read only the
+    columns they need, and its size is known to the optimizer.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
