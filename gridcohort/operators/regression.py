@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..session import materialize
@@ -106,49 +106,94 @@ def _native_cells(base: DataFrame, group: list[str], names: list[str], drop_sing
     return totals.select(*group, "_cell", F.array(*head, *[F.col(f"g{k}") for k in range(len(pairs))]).alias("stats"))
 
 
-def _wide_cells(base: DataFrame, group: list[str], names: list[str], drop_singletons: bool) -> DataFrame:
-    """The same stats for many variables: cross-products of Arrow batches, cell by cell.
+def _wide_cells(
+    base: DataFrame, keys: list[str], names: list[str], ys: list[str], used: list[list[bool]], drop_singletons: bool
+) -> DataFrame:
+    """Stats per (keys, _step, _cell) for many variables: cross-products of Arrow batches, cell by cell.
 
-    A cell's centred matrix is the sum of row products minus the products of its monthly sums
-    over their counts; both kinds of rows meet in one pass with a weight. Rows of a hot cell are
-    spread over several tasks, and their partial matrices add up afterwards.
+    ``base`` has one row per record with the last step whose sample it is in (``_last``); the
+    samples are nested, so a row counts for steps 0.._last and is never repeated. A step uses the
+    variables marked in ``used`` and its own y; the others are zero there. A cell's centred matrix
+    is the sum of row products minus the products of its monthly sums over their counts. Rows
+    of a hot cell are spread over several tasks, and the partial matrices add up afterwards.
     """
+    zs = [*names, *ys]
+    p = len(names)
+    packed = _packed(p + 1)
     # Any shift gives the same centred products; one near the values keeps the digits.
-    means = base.limit(1000).agg(*[F.avg(c).alias(c) for c in names]).first()
-    shift = {c: F.col(c) - F.lit(means[c] or 0.0) for c in names}
-    centred = base.select(*group, "_cell", "_month", *[e.alias(c) for c, e in shift.items()])
-    sums = centred.groupBy(*group, "_cell", "_month").agg(
-        F.count("*").alias("_n"), F.sum(F.col("_y") * F.col("_y")).alias("_syy"), *[F.sum(c).alias(c) for c in names]
-    )
-    counted = F.when(F.col("_n") > 1, 1.0).otherwise(0.0) if drop_singletons else F.lit(1.0)
-    keys = [*group, "_cell"]
-    rows = centred.select(
-        *keys, *names, F.lit(1.0).alias("_w"), F.lit(0.0).alias("_n"), F.lit(0.0).alias("_lev"), F.lit(0.0).alias("_syy"),
-        F.pmod(F.xxhash64("_month", *names), F.lit(SPLITS)).alias("_part"),
+    means = base.limit(1000).agg(*[F.avg(c).alias(c) for c in zs]).first()
+    shifted = {c: F.coalesce(F.col(c) - F.lit(means[c] or 0.0), F.lit(0.0)) for c in zs}
+    cell = [*keys, "_cell"]
+    centred = base.select(*cell, "_month", "_last", *[e.alias(c) for c, e in shifted.items()])
+
+    sums = centred.groupBy(*cell, "_month", "_last").agg(
+        F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in zs], *[F.sum(F.col(y) * F.col(y)).alias(f"_sq{y}") for y in ys]
     )
-    monthly = sums.select(
-        *keys, *names, (-1.0 / F.col("_n")).alias("_w"), (F.col("_n") * counted).alias("_n"), counted.alias("_lev"),
-        (F.col("_syy") * counted).alias("_syy"), F.pmod(F.xxhash64("_month"), F.lit(SPLITS)).alias("_part"),
+    of_step = lambda form: F.coalesce(*[F.when(F.col("_step") == s, F.col(form.format(y))) for s, y in enumerate(ys)])
+    monthly = (
+        sums.withColumn("_step", F.explode(F.sequence(F.lit(0), "_last")))
+        .withColumns({"_y": of_step("{}"), "_syy": of_step("_sq{}")})
+        .groupBy(*cell, "_month", "_step")
+        .agg(*[F.sum(c).alias(c) for c in ("_n", *names, "_y", "_syy")])
     )
-    hot = hot_key_hashes(base, keys, HOT_SHARE)
-    part = F.when(F.xxhash64(*keys).isin(hot), F.col("_part")).otherwise(F.lit(0)) if hot else F.lit(0)
-    stacked = rows.unionByName(monthly).withColumn("_part", part)
+    if drop_singletons:
+        # A record alone in its month adds as much as is taken away again, so it only leaves the counts.
+        alone = F.col("_n") == 1
+        monthly = monthly.withColumn("_one", F.when(alone, 0.0).otherwise(1.0))
+    else:
+        monthly = monthly.withColumn("_one", F.lit(1.0))
+
     tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = stacked.repartition(tasks, *keys, "_part").sortWithinPartitions(*keys)
-    packed = _packed(len(names))
+    hot = hot_key_hashes(base, cell, HOT_SHARE)
+
+    def spread(df: DataFrame, last: str, by: list[str]) -> DataFrame:
+        part = F.pmod(F.xxhash64(*by), F.lit(SPLITS))
+        part = F.when(F.xxhash64(*cell).isin(hot), part).otherwise(F.lit(0)) if hot else F.lit(0)
+        return df.withColumn("_part", part).repartition(tasks, *cell, "_part").sortWithinPartitions(*cell, last)
+
+    def of_used(gram: np.ndarray, step: int) -> np.ndarray:
+        keep = np.array([*used[step], True])
+        return np.where(np.outer(keep, keep), gram, 0.0)[packed]
 
     def products(block: pd.DataFrame) -> np.ndarray:
-        v = block[names].to_numpy("float64")
-        w = block["_w"].to_numpy("float64")
-        lev = block["_lev"].to_numpy("float64")
-        head = [block["_n"].sum(), lev.sum(), 0.0, (v[:, -1] * lev).sum(), block["_syy"].sum()]
-        return np.concatenate([head, ((v * w[:, None]).T @ v)[packed]])
+        v = block[zs].to_numpy("float64")
+        return v.T @ v
+
+    def by_rows(batches):
+        def rows():
+            for key, gram in _sum_runs(batches, [*cell, "_last"], products):
+                for step in range(int(key[-1]) + 1):
+                    at = [*range(p), p + step]
+                    yield (*key[:-2], step, key[-2], np.concatenate([np.zeros(HEAD), of_used(gram[np.ix_(at, at)], step)]))
 
-    def partial(batches):
-        yield from _frames(((*k, s) for k, s in _sum_runs(batches, keys, products)), [*keys, "stats"])
+        yield from _frames(rows(), [*keys, "_step", "_cell", "stats"])
 
-    schema = _schema(base, keys, "stats")
-    return spread.mapInPandas(partial, schema).repartition(*keys).sortWithinPartitions(*keys)
+    def by_months(batches):
+        def totals(block: pd.DataFrame) -> np.ndarray:
+            v = block[[*names, "_y"]].to_numpy("float64")
+            n, one = block["_n"].to_numpy("float64"), block["_one"].to_numpy("float64")
+            head = [(n * one).sum(), one.sum(), 0.0, (v[:, -1] * one).sum(), (block["_syy"] * one).sum()]
+            return np.concatenate([head, (-(v / n[:, None]).T @ v).ravel()])
+
+        def rows():
+            for key, total in _sum_runs(batches, [*cell, "_step"], totals):
+                gram = of_used(total[HEAD:].reshape(p + 1, p + 1), int(key[-1]))
+                yield (*key[:-2], int(key[-1]), key[-2], np.concatenate([total[:HEAD], gram]))
+
+        yield from _frames(rows(), [*keys, "_step", "_cell", "stats"])
+
+    fields = {f.name: f for f in base.schema}
+    schema = StructType(
+        [
+            *[StructField(k, fields[k].dataType) for k in keys],
+            StructField("_step", IntegerType()),
+            StructField("_cell", fields["_cell"].dataType),
+            StructField("stats", ArrayType(DoubleType())),
+        ]
+    )
+    raw = spread(centred.drop("_month"), "_last", zs).mapInPandas(by_rows, schema)
+    less = spread(monthly, "_step", ["_month"]).mapInPandas(by_months, schema)
+    return raw.unionByName(less).repartition(*keys, "_step", "_cell").sortWithinPartitions(*keys, "_step", "_cell")
 
 
 def _sweep(gram: np.ndarray, first: int) -> np.ndarray:
@@ -191,46 +236,15 @@ def _solve(stats: np.ndarray, k: int, tolerance: float = 1e-9):
     return beta, inverse, max(rss, 0.0), tss
 
 
-def fe_ols(
-    df: DataFrame,
-    y: str,
-    xs: Sequence[str],
-    cell: str,
-    month: str,
-    year: str,
-    trend: str = "linear",
-    group: Sequence[str] | None = None,
-    drop_singletons: bool = False,
-    correction: bool = True,
-    native_limit: int = NATIVE_LIMIT,
-) -> DataFrame:
-    """Coefficients (group…, term, coef, se, t, n, r2, n_clusters), one row per regressor.
-
-    ``trend``: ``linear`` or ``quadratic`` per cell, or ``none``. ``group`` runs one model per
-    combination of group values, all in the same job. Rows with a null in a used column leave.
-    A collinear regressor keeps its row with a null coefficient. ``correction`` applies
-    G/(G-1) · (N-1)/(N-K) to the clustered variance.
-    """
-    xs = list(dict.fromkeys(xs))
-    k = len(xs)
-    given = list(group or [])
+def _trends(year: str, trend: str) -> list[Column]:
     since = F.col(year).cast("double") - 2000.0
-    trends = {"none": [], "linear": [since], "quadratic": [since, since * since]}[trend]
-    names = [f"_t{i}" for i in range(len(trends))] + [f"_x{i}" for i in range(k)] + ["_y"]
-    values = trends + [F.col(c).cast("double") for c in xs] + [F.col(y).cast("double")]
-    base = df.select(
-        *given,
-        *([] if given else [F.lit(0).alias(_ALL)]),
-        F.col(cell).alias("_cell"),
-        F.col(month).alias("_month"),
-        *[v.alias(n) for v, n in zip(values, names)],
-    ).dropna()
-    keys = given or [_ALL]
-    build = _native_cells if len(names) <= native_limit else _wide_cells
-    cells = build(base, keys, names, drop_singletons)
+    return {"none": [], "linear": [since], "quadratic": [since, since * since]}[trend]
+
 
-    p = len(trends)
-    m = len(names)
+def _estimate(cells: DataFrame, keys: list[str], xs: list[str], p: int, correction: bool) -> DataFrame:
+    """Coefficients per key from stats per (key, _cell), the first ``p`` variables being trends."""
+    k = len(xs)
+    m = k + p + 1
     inner = _packed(k + 1)
 
     def swept(batches):
@@ -243,7 +257,7 @@ def fe_ols(
         yield from _frames(rows(), [*keys, "stats"])
 
     # One matrix per cell serves the coefficients and the errors: keep it, read the rows once.
-    reduced = materialize(cells.mapInPandas(swept, _schema(base, keys, "stats")))
+    reduced = materialize(cells.mapInPandas(swept, _schema(cells, keys, "stats")))
     totals = vector_sums(reduced, keys, "stats")
 
     def solved(batches):
@@ -256,7 +270,7 @@ def fe_ols(
                 out.append((*row[:-1], beta, inverse.ravel(), fit))
             yield pd.DataFrame(out, columns=[*keys, "beta", "inverse", "fit"])
 
-    fits = totals.mapInPandas(solved, _schema(base, keys, "beta", "inverse", "fit"))
+    fits = totals.mapInPandas(solved, _schema(cells, keys, "beta", "inverse", "fit"))
 
     # Every cell needs its group's coefficients: one row per group, repeated for a few salts so
     # that a group with most of the cells is spread.
@@ -284,7 +298,7 @@ def fe_ols(
         if totals:
             yield flush()
 
-    meat = vector_sums(scored.mapInPandas(meats, _schema(base, keys, "meat")), keys, "meat")
+    meat = vector_sums(scored.mapInPandas(meats, _schema(cells, keys, "meat")), keys, "meat")
 
     def finished(batches):
         for batch in batches:
@@ -305,7 +319,7 @@ def fe_ols(
                     out.append((*key, i, [beta[i], se[i], n, r2, clusters]))
             yield pd.DataFrame(out, columns=[*keys, "_i", "_v"])
 
-    schema = _schema(base, keys)
+    schema = _schema(cells, keys)
     schema = StructType([*schema.fields, StructField("_i", IntegerType()), StructField("_v", ArrayType(DoubleType()))])
     rows = fits.join(meat, keys).select(*keys, "beta", "inverse", "fit", "meat").mapInPandas(finished, schema)
 
@@ -314,7 +328,7 @@ def fe_ols(
 
     coef, se = at(0), at(1)
     return rows.select(
-        *given,
+        *keys,
         F.array(*[F.lit(x) for x in xs])[F.col("_i")].alias("term"),
         coef.alias("coef"),
         se.alias("se"),
@@ -323,3 +337,94 @@ def fe_ols(
         at(3).alias("r2"),
         F.col("_v")[4].cast("long").alias("n_clusters"),
     )
+
+
+def fe_ols(
+    df: DataFrame,
+    y: str,
+    xs: Sequence[str],
+    cell: str,
+    month: str,
+    year: str,
+    trend: str = "linear",
+    group: Sequence[str] | None = None,
+    drop_singletons: bool = False,
+    correction: bool = True,
+    native_limit: int = NATIVE_LIMIT,
+) -> DataFrame:
+    """Coefficients (group…, term, coef, se, t, n, r2, n_clusters), one row per regressor.
+
+    ``trend``: ``linear`` or ``quadratic`` per cell, or ``none``. ``group`` runs one model per
+    combination of group values, all in the same job. Rows with a null in a used column leave.
+    A collinear regressor keeps its row with a null coefficient. ``correction`` applies
+    G/(G-1) · (N-1)/(N-K) to the clustered variance.
+    """
+    xs = list(dict.fromkeys(xs))
+    trends = _trends(year, trend)
+    given = list(group or [])
+    keys = given or [_ALL]
+    names = [f"_t{i}" for i in range(len(trends))] + [f"_x{i}" for i in range(len(xs))]
+    values = [*trends, *[F.col(c).cast("double") for c in xs], F.col(y).cast("double")]
+    base = df.select(
+        *given,
+        *([] if given else [F.lit(0).alias(_ALL)]),
+        F.col(cell).alias("_cell"),
+        F.col(month).alias("_month"),
+        *[v.alias(n) for v, n in zip(values, [*names, "_y"])],
+    ).dropna()
+    if len(names) < native_limit:
+        cells = _native_cells(base, keys, [*names, "_y"], drop_singletons)
+    else:
+        one = base.withColumn("_last", F.lit(0))
+        cells = _wide_cells(one, keys, names, ["_y"], [[True] * len(names)], drop_singletons).drop("_step")
+    return _estimate(cells, keys, xs, len(trends), correction).drop(_ALL)
+
+
+def fe_steps(
+    df: DataFrame,
+    steps: Sequence[tuple[str, Sequence[str]]],
+    samples: Sequence[Column],
+    cell: str,
+    month: str,
+    year: str,
+    trend: str = "linear",
+    group: Sequence[str] | None = None,
+    drop_singletons: bool = False,
+    correction: bool = True,
+) -> DataFrame:
+    """Several models over nested samples in one pass: coefficients (group…, step, term, …).
+
+    Step s regresses ``steps[s] = (y, xs)`` on the rows for which ``samples[0..s]`` all hold and
+    the columns of steps 0..s are known; each step has at least the regressors of the one before.
+    """
+    trends = _trends(year, trend)
+    given = list(group or [])
+    keys = given or [_ALL]
+    xs = list(dict.fromkeys(x for _, some in steps for x in some))
+    names = [f"_t{i}" for i in range(len(trends))] + [f"_x{i}" for i in range(len(xs))]
+    ys = [f"_y{s}" for s in range(len(steps))]
+    known = F.lit(True)
+    member = []
+    for (y, some), sample in zip(steps, samples):
+        for c in [y, *some]:
+            known = known & F.col(c).isNotNull()
+        known = known & F.coalesce(sample, F.lit(False))
+        member.append(known.cast("int"))
+    values = [*trends, *[F.col(c).cast("double") for c in xs], *[F.col(y).cast("double") for y, _ in steps]]
+    base = (
+        df.select(
+            *given,
+            *([] if given else [F.lit(0).alias(_ALL)]),
+            F.col(cell).alias("_cell"),
+            F.col(month).alias("_month"),
+            *[v.alias(n) for v, n in zip(values, [*names, *ys])],
+            (sum(member[1:], member[0]) - 1).alias("_last"),
+        )
+        .filter("_last >= 0")
+        .dropna(subset=[*given, "_cell", "_month", *names[: len(trends)]])
+    )
+    used = [[True] * len(trends) + [x in set(some) for x in xs] for _, some in steps]
+    cells = _wide_cells(base, keys, names, ys, used, drop_singletons)
+    entry = F.create_map(*[F.lit(v) for x in xs for v in (x, min(s for s, (_, some) in enumerate(steps) if x in some))])
+    found = _estimate(cells, [*keys, "_step"], xs, len(trends), correction).filter(entry[F.col("term")] <= F.col("_step"))
+    return found.withColumnRenamed("_step", "step").drop(_ALL)

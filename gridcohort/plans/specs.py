@@ -12,7 +12,7 @@ from ..functions.columns import day_count_bins, negative_part, positive_part
 from ..operators.cohort import survivors
 from ..operators.features import AGE_BINS, parse_feature
 from ..operators.quantiles import many_quantiles, outside_quantiles
-from ..operators.regression import fe_ols
+from ..operators.regression import fe_steps
 
 # Period lists of the standard runs, with the exposure scheme and the age bins of the outcome.
 SEMESTER = ("inutero", "born_1m6m", "born_6m12m", "born_12m18m", "born_18m24m", "born_24m30m", "born_30m36m")
@@ -209,9 +209,8 @@ def survivor_models(df: DataFrame, spec: ModelSpec, group: str | None = None, wh
     """One model per life period after birth and per cell level, all in one pass.
 
     The outcome is the event in the period; the sample is the records without an event in the
-    earlier periods; the regressors are the exposures of all periods so far. Each record is
-    repeated once per (period, level) whose sample it is in, terms that a period does not use are
-    zero there, and (period, level) is a group of the regression.
+    earlier periods; the regressors are the exposures of all periods so far. The samples are
+    nested, so a record is read once per cell level for all periods.
     """
     frame = model_frame(df, spec, where, [group] if group else [])
     if group:
@@ -235,36 +234,29 @@ def survivor_models(df: DataFrame, spec: ModelSpec, group: str | None = None, wh
             columns[name] = column
             first.setdefault(name, s)
 
-    outcome = F.coalesce(*[F.when(F.col("_step") == s, F.col(spec.outcome(p))) for s, p in enumerate(steps)])
-    member = F.array_compact(F.array(*[F.when(c, F.lit(s)) for s, c in enumerate(sample)]))
     levels = F.array(
         *[F.struct(F.lit(i).alias("level"), F.col(c).cast("string").alias("cell")) for i, c in enumerate(spec.cells, 1)]
     )
-    stacked = (
-        frame.withColumn("_step", F.explode(member))
-        .withColumn("_at", F.explode(levels))
-        .select(
-            "_step",
-            F.col("_at.level").alias("cell_level"),
-            F.col("_at.cell").alias("_cell_id"),
-            *([F.col(group).cast("string").alias("group_value")] if group else []),
-            spec.month,
-            spec.year,
-            outcome.cast("double").alias("_outcome"),
-            *[F.col(c).cast("double").alias(c) for c in spec.controls],
-            *[F.when(F.col("_step") >= first[n], c).otherwise(0.0).alias(n) for n, c in columns.items()],
-        )
+    outcomes = [spec.outcome(p) for p in steps]
+    stacked = frame.withColumn("_at", F.explode(levels)).select(
+        F.col("_at.level").alias("cell_level"),
+        F.col("_at.cell").alias("_cell_id"),
+        *([F.col(group).cast("string").alias("group_value")] if group else []),
+        spec.month,
+        spec.year,
+        *dict.fromkeys([*outcomes, *spec.controls]),
+        *[c.alias(n) for n, c in columns.items()],
+        *[c.alias(f"_in{s}") for s, c in enumerate(sample)],
     )
-    by = [*(["group_value"] if group else []), "_step", "cell_level"]
-    fitted = fe_ols(
-        stacked, "_outcome", [*columns, *spec.controls], "_cell_id", spec.month, spec.year, spec.trend, by
+    by = [*(["group_value"] if group else []), "cell_level"]
+    models = [(y, [*[n for n in columns if first[n] <= s], *spec.controls]) for s, y in enumerate(outcomes)]
+    fitted = fe_steps(
+        stacked, models, [F.col(f"_in{s}") for s in range(len(steps))], "_cell_id", spec.month, spec.year, spec.trend, by
     )
-    entry = F.create_map(*[F.lit(x) for n, s in first.items() for x in (n, s)])
-    used = fitted.filter(F.coalesce(entry[F.col("term")], F.lit(0)) <= F.col("_step"))
-    names = F.array(*[F.lit(spec.outcome(p)) for p in steps])
-    return used.select(
+    names = F.array(*[F.lit(y) for y in outcomes])
+    return fitted.select(
         F.lit(spec.spec_id).alias("spec_id"),
-        names[F.col("_step")].alias("outcome"),
+        names[F.col("step")].alias("outcome"),
         "cell_level",
         "term", "coef", "se", "t", "n", "r2", "n_clusters",
         F.lit(group).cast("string").alias("group_var"),
