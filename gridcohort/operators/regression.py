@@ -131,7 +131,8 @@ def _wide_cells(
     )
     of_step = lambda form: F.coalesce(*[F.when(F.col("_step") == s, F.col(form.format(y))) for s, y in enumerate(ys)])
     monthly = (
-        sums.withColumn("_step", F.explode(F.sequence(F.lit(0), "_last")))
+        sums.withColumn("_step", F.explode(F.array(*[F.when(F.col("_last") >= s, s) for s in range(len(ys))])))
+        .filter("_step IS NOT NULL")
         .withColumns({"_y": of_step("{}"), "_syy": of_step("_sq{}")})
         .groupBy(*cell, "_month", "_step")
         .agg(*[F.sum(c).alias(c) for c in ("_n", *names, "_y", "_syy")])
@@ -236,6 +237,12 @@ def _solve(stats: np.ndarray, k: int, tolerance: float = 1e-9):
     return beta, inverse, max(rss, 0.0), tss
 
 
+def _doubles(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Columns as double under their own names; no renaming, which keeps plans small."""
+    types = dict(df.dtypes)
+    return [F.col(c) if types[c] == "double" else F.col(c).cast("double").alias(c) for c in columns]
+
+
 def _trends(year: str, trend: str) -> list[Column]:
     since = F.col(year).cast("double") - 2000.0
     return {"none": [], "linear": [since], "quadratic": [since, since * since]}[trend]
@@ -363,15 +370,19 @@ def fe_ols(
     trends = _trends(year, trend)
     given = list(group or [])
     keys = given or [_ALL]
-    names = [f"_t{i}" for i in range(len(trends))] + [f"_x{i}" for i in range(len(xs))]
-    values = [*trends, *[F.col(c).cast("double") for c in xs], F.col(y).cast("double")]
-    base = df.select(
+    names = [*[f"_t{i}" for i in range(len(trends))], *xs]
+    kept = df
+    for c in dict.fromkeys([*given, cell, month, year, *xs, y]):
+        kept = kept.filter(F.col(c).isNotNull())
+    base = kept.select(
         *given,
         *([] if given else [F.lit(0).alias(_ALL)]),
         F.col(cell).alias("_cell"),
         F.col(month).alias("_month"),
-        *[v.alias(n) for v, n in zip(values, [*names, "_y"])],
-    ).dropna()
+        *[t.alias(n) for t, n in zip(trends, names)],
+        *_doubles(df, xs),
+        F.col(y).cast("double").alias("_y"),
+    )
     if len(names) < native_limit:
         cells = _native_cells(base, keys, [*names, "_y"], drop_singletons)
     else:
@@ -384,7 +395,7 @@ def fe_steps(
     df: DataFrame,
     steps: Sequence[tuple[str, Sequence[str]]],
     samples: Sequence[Column],
-    cell: str,
+    cells: Sequence[str],
     month: str,
     year: str,
     trend: str = "linear",
@@ -392,39 +403,43 @@ def fe_steps(
     drop_singletons: bool = False,
     correction: bool = True,
 ) -> DataFrame:
-    """Several models over nested samples in one pass: coefficients (group…, step, term, …).
+    """Several models over nested samples, each at several cell levels, in one pass:
+    coefficients (group…, cell_level, step, term, …).
 
     Step s regresses ``steps[s] = (y, xs)`` on the rows for which ``samples[0..s]`` all hold and
     the columns of steps 0..s are known; each step has at least the regressors of the one before.
     """
     trends = _trends(year, trend)
     given = list(group or [])
-    keys = given or [_ALL]
+    keys = [*given, "cell_level"]
     xs = list(dict.fromkeys(x for _, some in steps for x in some))
-    names = [f"_t{i}" for i in range(len(trends))] + [f"_x{i}" for i in range(len(xs))]
+    names = [*[f"_t{i}" for i in range(len(trends))], *xs]
     ys = [f"_y{s}" for s in range(len(steps))]
-    known = F.lit(True)
-    member = []
-    for (y, some), sample in zip(steps, samples):
-        for c in [y, *some]:
-            known = known & F.col(c).isNotNull()
-        known = known & F.coalesce(sample, F.lit(False))
-        member.append(known.cast("int"))
-    values = [*trends, *[F.col(c).cast("double") for c in xs], *[F.col(y).cast("double") for y, _ in steps]]
-    base = (
-        df.select(
-            *given,
-            *([] if given else [F.lit(0).alias(_ALL)]),
-            F.col(cell).alias("_cell"),
-            F.col(month).alias("_month"),
-            *[v.alias(n) for v, n in zip(values, [*names, *ys])],
-            (sum(member[1:], member[0]) - 1).alias("_last"),
-        )
-        .filter("_last >= 0")
-        .dropna(subset=[*given, "_cell", "_month", *names[: len(trends)]])
+    # Conditions of step 0 filter the rows, one plain condition per column: a single condition over
+    # many renamed columns makes the optimizer enumerate all combinations of the names.
+    kept = df.filter(samples[0])
+    for c in dict.fromkeys([*given, month, year, steps[0][0], *steps[0][1]]):
+        kept = kept.filter(F.col(c).isNotNull())
+    last, seen = F.when(F.lit(False), -1), set(steps[0][1])
+    for s, ((y, some), sample) in enumerate(zip(steps[1:], samples[1:]), start=1):
+        new = [y, *[x for x in some if x not in seen]]
+        gaps = sum((F.col(c).isNull().cast("int") for c in new[1:]), F.col(new[0]).isNull().cast("int"))
+        last = last.when(~F.coalesce(sample, F.lit(False)) | (gaps > 0), s - 1)
+        seen |= set(some)
+    levels = [F.struct(F.lit(i).alias("cell_level"), F.col(c).cast("string").alias("_cell")) for i, c in enumerate(cells, 1)]
+    # Everything is computed before the rows are repeated per cell level.
+    rows = kept.select(
+        *given,
+        F.col(month).alias("_month"),
+        *[t.alias(n) for t, n in zip(trends, names)],
+        *_doubles(df, xs),
+        *[F.col(y).cast("double").alias(n) for (y, _), n in zip(steps, ys)],
+        last.otherwise(len(steps) - 1).alias("_last"),
+        F.array(*levels).alias("_at"),
     )
+    base = rows.withColumn("_at", F.explode("_at")).select("*", "_at.*").drop("_at").filter("_cell IS NOT NULL")
     used = [[True] * len(trends) + [x in set(some) for x in xs] for _, some in steps]
-    cells = _wide_cells(base, keys, names, ys, used, drop_singletons)
+    stats = _wide_cells(base, keys, names, ys, used, drop_singletons)
     entry = F.create_map(*[F.lit(v) for x in xs for v in (x, min(s for s, (_, some) in enumerate(steps) if x in some))])
-    found = _estimate(cells, [*keys, "_step"], xs, len(trends), correction).filter(entry[F.col("term")] <= F.col("_step"))
-    return found.withColumnRenamed("_step", "step").drop(_ALL)
+    found = _estimate(stats, [*keys, "_step"], xs, len(trends), correction).filter(entry[F.col("term")] <= F.col("_step"))
+    return found.withColumnRenamed("_step", "step")

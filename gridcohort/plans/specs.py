@@ -234,25 +234,17 @@ def survivor_models(df: DataFrame, spec: ModelSpec, group: str | None = None, wh
             columns[name] = column
             first.setdefault(name, s)
 
-    levels = F.array(
-        *[F.struct(F.lit(i).alias("level"), F.col(c).cast("string").alias("cell")) for i, c in enumerate(spec.cells, 1)]
-    )
     outcomes = [spec.outcome(p) for p in steps]
-    stacked = frame.withColumn("_at", F.explode(levels)).select(
-        F.col("_at.level").alias("cell_level"),
-        F.col("_at.cell").alias("_cell_id"),
+    rows = frame.select(
         *([F.col(group).cast("string").alias("group_value")] if group else []),
-        spec.month,
-        spec.year,
-        *dict.fromkeys([*outcomes, *spec.controls]),
-        *[c.alias(n) for n, c in columns.items()],
+        *dict.fromkeys([spec.month, spec.year, *spec.cells, *outcomes, *spec.controls, *[n for n in columns if n in frame.columns]]),
+        *[c.alias(n) for n, c in columns.items() if n not in frame.columns],
         *[c.alias(f"_in{s}") for s, c in enumerate(sample)],
     )
-    by = [*(["group_value"] if group else []), "cell_level"]
     models = [(y, [*[n for n in columns if first[n] <= s], *spec.controls]) for s, y in enumerate(outcomes)]
-    fitted = fe_steps(
-        stacked, models, [F.col(f"_in{s}") for s in range(len(steps))], "_cell_id", spec.month, spec.year, spec.trend, by
-    )
+    inside = [F.col(f"_in{s}") for s in range(len(steps))]
+    by = ["group_value"] if group else []
+    fitted = fe_steps(rows, models, inside, spec.cells, spec.month, spec.year, spec.trend, by)
     names = F.array(*[F.lit(y) for y in outcomes])
     return fitted.select(
         F.lit(spec.spec_id).alias("spec_id"),
