@@ -15,17 +15,19 @@ SPLITS = 32
 def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's own size estimate, None where the session does not expose it."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         return None
 
 
 def fits_broadcast(df: DataFrame) -> bool:
     """True if Spark's size check will let it broadcast this frame by itself."""
-    size = estimated_bytes(df)
     text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if text.startswith("-"):
+        return False
     limit = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
-    return size is not None and 0 <= size <= limit
+    size = estimated_bytes(df)
+    return size is not None and size <= limit
 
 
 def hot_key_hashes(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> list[int]:

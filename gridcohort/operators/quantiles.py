@@ -7,6 +7,7 @@ from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.columns import interval_bin
 from .joins import skew_join
@@ -124,7 +125,7 @@ def grouped_quantiles(
     point = F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("edges")
     if not large:
         return values.groupBy(*group).agg(point)
-    schema = kinds.drop("kinds").schema.add("edges", "array<double>")
+    schema = kinds.drop("kinds").schema.add("edges", ArrayType(DoubleType()))
 
     def of(row) -> Column:
         same = F.lit(True)
