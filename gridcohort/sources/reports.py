@@ -12,7 +12,7 @@ KEYWORDS = "drought|excessiverain|t_|std_t|stdm_t|spi"
 
 def read_reports(spark: SparkSession, path: str, glob: str = "*.tex") -> DataFrame:
     """(file, line_no, text) of every report below a folder."""
-    whole = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).text(path)
+    whole = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
     return whole.select(
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"),
         F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "text"),
