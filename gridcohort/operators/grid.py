@@ -262,7 +262,7 @@ def regrid(
         mixed.groupBy("lat", "lon", *by)
         .agg(
             *[
-                F.when(F.count(v) == F.first("need"), F.sum(F.col(v) * F.col("w"))).alias(v)
+                F.when(F.count(v) == F.max("need"), F.sum(F.col(v) * F.col("w"))).alias(v)
                 for v in values
             ]
         )

@@ -88,7 +88,8 @@ def checked_join(
         if found:
             raise ValueError(f"{name} side repeats the key {found[0].asDict()}")
     if validate == "1:m":
-        return left.join(right, list(on), how)
+        # The right side has the many rows, so it is the one to spread.
+        return skew_join(right, left, on) if how == "inner" else left.join(right, list(on), how)
     return skew_join(left, right, on, how)
 
 

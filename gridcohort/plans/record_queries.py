@@ -38,6 +38,7 @@ from ..operators.joins import (
 )
 from ..operators.quality import column_means, density_table, describe_table, distinct_count, distinct_values, frequency, sparse_cells
 from ..operators.quantiles import outside_quantiles, quantile_bin
+from ..session import materialize
 from .registry import query
 from .roles import (
     ANALYSIS_SQL,
@@ -361,7 +362,8 @@ def nearest_point(spark, d):
     FROM analysis, lim WHERE stdm_t_inutero_b_avg IS NOT NULL""",
 )
 def semi_anti_members(spark, d):
-    records = analysis(spark, d).filter("stdm_t_inutero_b_avg IS NOT NULL").select("id", "mother", "age", "stdm_t_inutero_b_avg")
+    wanted = ["id", "mother", "age", "stdm_t_inutero_b_avg"]
+    records = materialize(analysis(spark, d).filter("stdm_t_inutero_b_avg IS NOT NULL").select(*wanted))
     marked = outside_quantiles(records, "stdm_t_inutero_b_avg", 0.15, 0.85, "shock")
     member, other = semi_anti_split(marked, records.filter("age < 12"), ["mother"])
     return member.withColumn("side", F.lit("member")).unionByName(other.withColumn("side", F.lit("other")))

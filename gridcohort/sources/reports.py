@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import number_text, stars
+from ..operators.joins import skew_join
 from ..operators.results import EXTREME_PREFIXES, SPI_PREFIXES, TEMP_PREFIXES, confidence_bounds, with_term_parts
 
 KEYWORDS = "drought|excessiverain|t_|std_t|stdm_t|spi"
@@ -28,7 +29,7 @@ def _fields(text: Column) -> Column:
 def report_body(lines: DataFrame, header: int = 0, footer: int = 0) -> DataFrame:
     """Lines without the first ``header`` and the last ``footer`` ones of their file."""
     last = lines.groupBy("file").agg(F.max("line_no").alias("_last"))
-    kept = lines.join(last, "file").filter((F.col("line_no") >= header) & (F.col("line_no") <= F.col("_last") - footer))
+    kept = skew_join(lines, last, ["file"]).filter((F.col("line_no") >= header) & (F.col("line_no") <= F.col("_last") - footer))
     return kept.drop("_last")
 
 

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridcohort.operators.results import confidence_bounds, flip_sign, harmonize_extremes, zero_nonsignificant
+from gridcohort.operators.results import coefficient_view, confidence_bounds, flip_sign, harmonize_extremes, zero_nonsignificant
 from gridcohort.plans.specs import ModelSpec, required_columns, run_specs, shock_group, survivor_models, terms
 from test_regression import dummies_ols
 
@@ -122,3 +122,16 @@ def test_bounds_zeroing_and_names(spark):
     assert out["hd35_born_1m6m_b_avg"]["h"] == "t_born_1m6m_b_avg_pos_int" and out["fd_inutero_b_avg"]["h"] == "t_inutero_b_avg_neg_int"
     flipped = flip_sign(confidence_bounds(df), F.col("term") == "hd35_born_1m6m_b_avg").first()
     assert flipped["coef"] == -1.0 and flipped["lower"] < flipped["upper"]
+
+
+def test_window_view_and_sample_gate(spark, tmp_path):
+    from gridcohort.plans.specs import write_coefficients
+
+    rows = [("s", "o", 1, f"stdm_t_born_1m_b_w{k}_pos_int", float(k), 0.1, 200_000) for k in (1, 2, 10)]
+    rows.append(("s", "o", 1, "stdm_t_born_1m_b_w3_pos_int", 3.0, 0.1, 99_999))
+    coefs = spark.createDataFrame(rows, "spec_id string, outcome string, cell_level int, term string, coef double, se double, n long")
+    out = coefficient_view(coefs, "window").orderBy("coef").collect()
+    assert [(r["window"], r["key"]) for r in out] == [(f"w{k}", "born_1m_b_pos_int") for k in (1, 2, 10)]
+    write_coefficients(coefs, str(tmp_path / "c"), order=["stdm_t_born_1m_b_w2_pos_int"])
+    back = spark.read.parquet(str(tmp_path / "c"))
+    assert back.count() == 4 and back.filter("term_order = 1").count() == 1
