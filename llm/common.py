@@ -81,3 +81,10 @@ def id_order(doc_id: str = "doc_id") -> Column:
     return F.struct(F.col(doc_id).isNull().alias("missing"), F.col(doc_id).alias("id"))
 
 
+def rows_of(df: DataFrame, rids: DataFrame) -> DataFrame:
+    """The rows of `df`, all columns, whose row ids (`with_row_ids`) are in the column `rid`."""
+    name = "_row_id"
+    while name in df.columns:
+        name += "_"
+    numbered = with_row_ids(df, *df.columns, F.monotonically_increasing_id().alias(name)).select(*df.columns, name)
+    return numbered.join(rids.select(F.col("rid").alias(name)), name, "left_semi").drop(name)

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from llm.bpe import digests, encode_documents, read_ranks
+from llm.edits import contamination
 from llm.exact import exact_dedup
+from llm.language import identify, remainder
+from llm.simhash import simhash_components
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +29,13 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ranks = read_ranks(spark, public_tokenizers.path(RANKS))
+    return digests(encode_documents(docs, ranks, public_tokenizers.PATTERN))
+
+
 NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 
@@ -36,3 +50,21 @@ WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST)
 """)
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query()
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
+
+
+@query()
+def op9_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return contamination(docs, items).select("doc_id", "contaminated", "n_items", "item_ids", "distances")
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = identify(docs.select("doc_id", "text", "lang"))
+    return found.select("doc_id", (remainder() == 2).alias("held_out"), "lang_pred", "score", "rejected")
