@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from llm.common import is_scan, store, workspace
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: RocksDB, without the 4 MB that it sets aside on disk for each partition's manifest.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Hits that are compared with one copy of the kept text.
 HITS_PER_COPY = 256
 #: Bytes of files in one micro-batch.
@@ -48,8 +51,9 @@ def update_state(spark: SparkSession, path: str, checkpoint: str, digest: Callab
 
     Columns: digest, first (missing, id, file, row), n.
     """
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, STATE_STORE)
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:  # a stream of a single file needs its path as a pattern
         stream = (
             spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", batch_bytes).parquet(f"{path[:-1]}[{path[-1]}]")
@@ -59,7 +63,8 @@ def update_state(spark: SparkSession, path: str, checkpoint: str, digest: Callab
         query = stream.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
     state = spark.read.format("statestore").load(checkpoint)
     least, count = (f.name for f in state.schema["value"].dataType.fields)
     return state.select("key.digest", F.col(f"value.{least}").alias("first"), F.col(f"value.{count}").alias("n"))
@@ -88,7 +93,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame | str, digest: Callable[[Co
     joined = rows.join(state, "digest")
 
     # every hit against the whole text at the locator
-    hits = joined.filter(F.col("n") > 1).select("digest", "_at", "_norm", "n", at_first.alias("_kept"))
+    hits = store(joined.filter(F.col("n") > 1).select("digest", "_at", "_norm", "n", at_first.alias("_kept")), "hits")
     parts = F.ceil(F.col("n") / HITS_PER_COPY).cast("int")
     copies = hits.filter("not _kept").withColumn("part", F.pmod(F.xxhash64("_at.file", "_at.row"), parts).cast("int"))
     kept = hits.filter("_kept").select("digest", F.col("_norm").alias("_first"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
