@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from llm.bpe import digests, encode_documents, read_ranks
+from llm.cascade import judge
 from llm.edits import contamination
 from llm.exact import exact_dedup
 from llm.language import identify, remainder
@@ -57,6 +58,36 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
 
 
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@query(f"""
+WITH rules(verdict, h, p) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+urls AS (
+  SELECT page_id, row_number() OVER () AS n,
+         translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path
+  FROM pages
+),
+best AS (
+  SELECT n, h || p AS rule, verdict,
+         row_number() OVER (PARTITION BY n ORDER BY length(h || p) DESC, length(h) DESC) AS place
+  FROM urls JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM urls LEFT JOIN (SELECT * FROM best WHERE place = 1) USING (n)
+""")
+def op8_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return judge(pages, URL_RULES).drop("url")
+
+
 @query()
 def op9_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
