@@ -12,6 +12,7 @@ from llm.cascade import judge
 from llm.edits import contamination
 from llm.exact import exact_dedup
 from llm.language import identify, remainder
+from llm.markup import main_text
 from llm.simhash import simhash_components
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -53,6 +54,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query()
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 @query()
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
