@@ -12,6 +12,7 @@ from llm.cascade import judge
 from llm.edits import contamination
 from llm.exact import exact_dedup
 from llm.language import identify, remainder
+from llm.lines import drop_repeated_lines
 from llm.markup import main_text
 from llm.simhash import simhash_components
 
@@ -38,6 +39,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_documents(docs, ranks, public_tokenizers.PATTERN))
 
 
+@query()
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 
