@@ -14,7 +14,9 @@ from llm.exact import exact_dedup
 from llm.language import identify, remainder
 from llm.lines import drop_repeated_lines
 from llm.markup import main_text
+from llm.parsing import drop_earlier_passages
 from llm.simhash import simhash_components
+from llm.suffixes import drop_repeated_bytes
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -61,6 +63,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query()
+def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op5_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_earlier_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
