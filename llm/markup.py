@@ -86,20 +86,26 @@ class Page:
         self._read(source or "")
 
     def _flush(self) -> None:
-        if self._text:
-            text = " ".join(html.unescape("".join(self._text)).split())
-            self._text.clear()
-            if not text:
-                return
-            node = self._stack[-1] if self._stack else None
-            if node is None or not node.drop:
-                self.blocks.append((text, node.level if node else 0, tuple(self._numbers)))
-            for n in self._stack:
-                if n.container:
-                    n.digest.update(text.encode("utf-8", "replace"))
+        """End the block. Its text is never from a dropped element, though one may be open."""
+        if not self._text:
+            return
+        text = " ".join(html.unescape("".join(self._text)).split())
+        self._text.clear()
+        if not text:
+            return
+        kept = [i for i, n in enumerate(self._stack) if not n.drop]
+        self.blocks.append((text, self._stack[kept[-1]].level if kept else 0, tuple(self._numbers[i] for i in kept)))
+        for i in kept:
+            if self._stack[i].container:
+                self._stack[i].digest.update(text.encode("utf-8", "replace"))
+
+    def _add(self, text: str) -> None:
+        if not (self._stack and self._stack[-1].drop):
+            self._text.append(text)
 
     def _close(self) -> None:
-        self._flush()
+        if self._stack[-1].tag in BLOCKS:
+            self._flush()
         node, number = self._stack.pop(), self._numbers.pop()
         if node.container:
             value = int.from_bytes(node.digest.digest(), "big", signed=True)
@@ -134,7 +140,7 @@ class Page:
         elif (tag == "main" or attributes.get("role") == "main") and not drop:
             level = max(level, 1)
         inside = above is not None and above.level > 0
-        container = tag in CONTAINERS if inside else level == 0 and tag not in ("html", "body")
+        container = not drop and (tag in CONTAINERS if inside else level == 0 and tag in BLOCKS and tag != "body")
         self._numbers.append(self._count)
         self._count += 1
         self._stack.append(_Node(tag, drop, level, " ".join(f"{k}={v}" for k, v in sorted(attributes.items())), len(self.blocks), container))
@@ -153,13 +159,13 @@ class Page:
         while at < len(source):
             token = _TOKEN.match(source, at)
             if token is None:  # an opening sign without an end
-                self._text.append(source[at])
+                self._add(source[at])
                 at += 1
                 continue
             at = token.end()
             end, tag, raw, text = token.groups()
             if text:
-                self._text.append(text)
+                self._add(text)
             elif tag:
                 tag = tag.lower()
                 if end:
@@ -170,7 +176,7 @@ class Page:
                     done = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
                     at = done.end() if done else (len(source) if tag in ("script", "style") else at)
                 elif tag == "br":
-                    self._text.append(" ")
+                    self._add(" ")
                 elif tag in VOID:
                     if tag in BLOCKS:
                         self._flush()
