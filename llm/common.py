@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -43,21 +44,20 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 def is_scan(df: DataFrame) -> bool:
     """Whether the rows come straight from files, in the same partitions and order at each read."""
-    try:
-        df.select("_metadata.file_path")
-    except AnalysisException:
-        return False
-    return True
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain()
+    plan = text.getvalue()
+    return "FileScan" in plan and "Exchange" not in plan
 
 
-def with_row_ids(df: DataFrame, *cols: str | Column) -> DataFrame:
-    """Chosen columns and `rid`, a number of the row that is the same at each evaluation.
+def with_row_ids(df: DataFrame, *cols: str | Column, name: str = "rid") -> DataFrame:
+    """Chosen columns and `name`, a number of the row that is the same at each evaluation.
 
-    Rows of a file scan are numbered as they are; any other input is stored first. A missing
-    column reads as null.
+    Rows of a file scan are numbered as they are; any other input is stored first.
     """
     df = df if is_scan(df) else store(df, "numbered")
-    return df.select(*cols, F.monotonically_increasing_id().alias("rid"))
+    return df.select(*cols, F.monotonically_increasing_id().alias(name))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
@@ -86,5 +86,4 @@ def rows_of(df: DataFrame, rids: DataFrame) -> DataFrame:
     name = "_row_id"
     while name in df.columns:
         name += "_"
-    numbered = with_row_ids(df, *df.columns, F.monotonically_increasing_id().alias(name)).select(*df.columns, name)
-    return numbered.join(rids.select(F.col("rid").alias(name)), name, "left_semi").drop(name)
+    return with_row_ids(df, *df.columns, name=name).join(rids.select(F.col("rid").alias(name)), name, "left_semi").drop(name)

@@ -15,8 +15,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from llm.common import is_scan, store, workspace
+from llm.common import store, workspace
 
 #: RocksDB, without the 4 MB that it sets aside on disk for each partition's manifest.
 STATE_STORE = {
@@ -42,11 +43,11 @@ def _locator() -> Column:
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def _first() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col("_at.file").alias("file"), F.col("_at.row").alias("row"))
+def _first(doc_id: str = "doc_id") -> Column:
+    return F.struct(F.col(doc_id).isNull().alias("missing"), F.col(doc_id).alias("id"), F.col("_at.file").alias("file"), F.col("_at.row").alias("row"))
 
 
-def update_state(spark: SparkSession, path: str, checkpoint: str, digest: Callable[[Column], Column] = sha256, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def update_state(spark: SparkSession, path: str, checkpoint: str, digest: Callable[[Column], Column] = sha256, batch_bytes: int = BATCH_BYTES, schema: StructType | None = None) -> DataFrame:
     """Run the stream over all files at `path` that the checkpoint has not seen; return the state.
 
     Columns: digest, first (missing, id, file, row), n.
@@ -56,7 +57,7 @@ def update_state(spark: SparkSession, path: str, checkpoint: str, digest: Callab
         spark.conf.set(name, value)
     try:  # a stream of a single file needs its path as a pattern
         stream = (
-            spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", batch_bytes).parquet(f"{path[:-1]}[{path[-1]}]")
+            spark.readStream.schema(schema or spark.read.parquet(path).schema).option("maxBytesPerTrigger", batch_bytes).parquet(f"{path[:-1]}[{path[-1]}]")
             .select("doc_id", _locator().alias("_at"), digest(normalised()).alias("digest"))
             .groupBy("digest").agg(F.min(_first()).alias("first"), F.count("*").alias("n"))
         )
@@ -73,22 +74,20 @@ def update_state(spark: SparkSession, path: str, checkpoint: str, digest: Callab
 def exact_dedup(spark: SparkSession, docs: DataFrame | str, digest: Callable[[Column], Column] = sha256, checkpoint: str | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """All columns of `docs` and keep_id, group_size, kept, text_sha256, for every row.
 
-    `docs` is a path of Parquet files or a DataFrame; one that isn't a file scan is stored first.
+    `docs` is a path of Parquet files, streamed in place, or a DataFrame, which is stored first.
     Of rows with equal normalised text the one with the smallest doc_id stays; equal ids: the first
     by file and position; null ids come last. Null and empty texts are one group. Repeated rows are
     copies like any others. Columns of `docs` with the names of the results are replaced.
     """
     if isinstance(docs, DataFrame):
-        docs = docs if is_scan(docs) else store(docs, "docs")
-        paths = docs.inputFiles()
-        whole = _common_root(paths)
+        schema, path = docs.schema, workspace(spark, "docs")
+        docs.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(schema).parquet(path)
     else:
-        whole, docs = docs, spark.read.parquet(docs)
-    named = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    if not docs.inputFiles():
-        return docs.select(*named, F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"))
-    state = store(update_state(spark, whole, checkpoint or workspace(spark, "state"), digest, batch_bytes), "classes")
-    rows = docs.select(*named, _locator().alias("_at"), normalised().alias("_norm")).withColumn("digest", digest(F.col("_norm")))
+        path, docs = docs, spark.read.parquet(docs)
+    named = [F.col(f"`{c}`") for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
+    state = store(update_state(spark, path, checkpoint or workspace(spark, "state"), digest, batch_bytes, docs.schema), "classes")
+    rows = docs.select(F.struct(*named).alias("_row"), _locator().alias("_at"), normalised().alias("_norm")).withColumn("digest", digest(F.col("_norm")))
     at_first = (F.col("_at.file") == F.col("first.file")) & (F.col("_at.row") == F.col("first.row"))
     joined = rows.join(state, "digest")
 
@@ -98,19 +97,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame | str, digest: Callable[[Co
     copies = hits.filter("not _kept").withColumn("part", F.pmod(F.xxhash64("_at.file", "_at.row"), parts).cast("int"))
     kept = hits.filter("_kept").select("digest", F.col("_norm").alias("_first"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     wrong = store(copies.join(kept, ["digest", "part"]).filter(F.col("_norm") != F.col("_first")).select("digest").distinct(), "collisions")
-    shown = [*named, F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), at_first.alias("kept"), F.sha2("_norm", 256).alias("text_sha256")]
+    shown = ["_row.*", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), at_first.alias("kept"), F.sha2("_norm", 256).alias("text_sha256")]
     if wrong.isEmpty():
         return joined.select(*shown)
     mixed = rows.join(wrong, "digest", "left_semi")
-    by_text = mixed.groupBy("_norm").agg(F.min(_first()).alias("first"), F.count("*").alias("n"))
+    by_text = mixed.groupBy("_norm").agg(F.min(_first("_row.doc_id")).alias("first"), F.count("*").alias("n"))
     return joined.join(wrong, "digest", "left_anti").select(*shown).unionByName(mixed.join(by_text, "_norm").select(*shown))
 
-
-def _common_root(files: list[str]) -> str:
-    """The folder or file that a scan reads: the path of its only file, or the folder of its files."""
-    folders = {f.rsplit("/", 1)[0] for f in files}
-    if len(files) == 1 and not files[0].rsplit("/", 1)[1].startswith("part-"):
-        return files[0]
-    if len(folders) > 1:
-        raise ValueError("exact_dedup reads one folder of Parquet files; pass its path")
-    return folders.pop() if folders else ""

@@ -44,20 +44,17 @@ def counts(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     out, letters = np.zeros(BUCKETS, np.int64), False
-    for start in range(0, len(text), STRETCH):
-        raw = text[start : start + STRETCH + max(SIZES) - 1]
-        last = start + STRETCH >= len(text)
-        c = np.frombuffer(raw.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    text = f" {text.lower()} "
+    for start in range(0, len(text), STRETCH):  # subwords that start here may end in the next stretch
+        c = np.frombuffer(text[start : start + STRETCH + max(SIZES) - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _is_letter()[c]
         letters |= bool(letter.any())
-        c = np.concatenate([[32], np.where(letter, c, 32), [32]]).astype(np.uint64) if last else np.concatenate([[32], np.where(letter, c, 32)]).astype(np.uint64)
+        c = np.where(letter, c, 32).astype(np.uint64)
         h = np.zeros(len(c), np.uint64)
-        for n in range(1, max(SIZES) + 1):
-            if n > len(c):
-                break
+        for n in range(1, min(max(SIZES), len(c)) + 1):
             h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :] + np.uint64(n)
             if n in SIZES:
-                out += np.bincount((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(50)).astype(np.int64), minlength=BUCKETS)
+                out += np.bincount((h[:STRETCH] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(50)).astype(np.int64), minlength=BUCKETS)
     return out if letters else None
 
 
