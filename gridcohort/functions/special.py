@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,11 +80,40 @@ def log_gamma_array(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.log(2 * np.pi) + (x + 0.5) * np.log(t) - t + np.log(series) - np.log(x)
 
 
-def gamma_cdf_array(a: np.ndarray, x: np.ndarray, terms: int = 2000) -> np.ndarray:
-    """Regularised lower incomplete gamma: power series below a + 1, continued fraction above."""
+# Shapes from which the expansion for large shapes is exact to 1e-11.
+LARGE_SHAPE = 1e4
+# Within this distance from the mean the expansion's coefficients come from their series.
+NEAR = 0.02
+
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+
+def _large_shape_cdf(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Temme's uniform expansion of P(a, x), two terms; its error falls with a ** -2.5."""
+    mu = (x - a) / a
+    powers = sum((-mu) ** (k - 2) / k for k in range(2, 12))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        half = np.where(np.abs(mu) < NEAR, mu * mu * powers, mu - np.log1p(mu))
+        eta = np.sign(mu) * np.sqrt(2 * half)
+        series = (-1 / 3 + eta / 12 - eta**2 * 2 / 135 + eta**3 / 864 + eta**4 / 2835, -1 / 540 - eta / 288)
+        exact = (1 / mu - 1 / eta, 1 / eta**3 - 1 / mu**3 - 1 / mu**2 - 1 / (12 * mu))
+    near = np.abs(mu) < NEAR
+    first, second = (np.where(near, s, e) for s, e in zip(series, exact))
+    rest = np.exp(-a * half) / np.sqrt(2 * np.pi * a) * (first + second / a)
+    return 0.5 * _erfc(-eta * np.sqrt(a / 2)).astype(float) - rest
+
+
+def gamma_cdf_array(a: np.ndarray, x: np.ndarray, terms: int = 4000) -> np.ndarray:
+    """Regularised lower incomplete gamma: power series below a + 1, continued fraction above, an
+    expansion for large shapes. What does not settle within ``terms`` terms is not a number."""
     out = np.full(a.shape, np.nan)
-    known = (a > 0) & (x >= 0)
+    known = (a > 0) & (x >= 0) & np.isfinite(a)
     out[known & (x == 0)] = 0.0
+    out[known & np.isinf(x)] = 1.0
+    large = known & (x > 0) & (a >= LARGE_SHAPE) & np.isfinite(x)
+    if large.any():
+        out[large] = _large_shape_cdf(a[large], x[large])
+    known = known & (a < LARGE_SHAPE) & np.isfinite(x)
     low = known & (x > 0) & (x < a + 1)
     high = known & (x >= a + 1)
     if low.any():
@@ -93,9 +123,9 @@ def gamma_cdf_array(a: np.ndarray, x: np.ndarray, terms: int = 2000) -> np.ndarr
         for n in range(1, terms):
             term = term * xx / (aa + n)
             total += term
-            if (term <= total * 1e-16).all():
+            if (settled := term <= total * 1e-16).all():
                 break
-        out[low] = total * np.exp(aa * np.log(xx) - xx - log_gamma_array(aa))
+        out[low] = np.where(settled, total * np.exp(aa * np.log(xx) - xx - log_gamma_array(aa)), np.nan)
     if high.any():
         aa, xx = a[high], x[high]
         tiny = 1e-300
@@ -112,9 +142,9 @@ def gamma_cdf_array(a: np.ndarray, x: np.ndarray, terms: int = 2000) -> np.ndarr
             c = np.where(np.abs(c) < tiny, tiny, c)
             step = d * c
             h = h * step
-            if (np.abs(step - 1) < 1e-15).all():
+            if (settled := np.abs(step - 1) < 1e-14).all():
                 break
-        out[high] = 1 - h * np.exp(aa * np.log(xx) - xx - log_gamma_array(aa))
+        out[high] = np.where(settled, 1 - h * np.exp(aa * np.log(xx) - xx - log_gamma_array(aa)), np.nan)
     return out
 
 

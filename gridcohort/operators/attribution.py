@@ -33,7 +33,7 @@ def birth_ratio(
     nearest bucket it is."""
     wide = pivot_indicators(rows, [country, year], indicator, {POPULATION_ID: "population", BIRTHS_ID: "births"}, value)
     placed = wide.withColumns(
-        {"bucket": nearest_bucket(year, buckets), "ratio": F.col("births") / F.col("population")}
+        {"bucket": nearest_bucket(year, buckets), "ratio": F.try_divide("births", "population")}
     )
     return placed.groupBy(country, "bucket").agg(F.avg("ratio").alias("born_ratio"))
 

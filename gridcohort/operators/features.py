@@ -139,4 +139,4 @@ def add_group_share(df: DataFrame, by: Sequence[str], columns: Sequence[str], to
     """Group totals on every row (``set_*``) and their share of the group total of ``total``."""
     sums = df.groupBy(*by).agg(*[F.sum(c).alias(f"set_{c}") for c in dict.fromkeys([*columns, total])])
     joined = skew_join(df, sums, list(by))
-    return joined.withColumns({f"set_{c}_share": F.col(f"set_{c}") / F.col(f"set_{total}") for c in columns})
+    return joined.withColumns({f"set_{c}_share": F.try_divide(f"set_{c}", f"set_{total}") for c in columns})

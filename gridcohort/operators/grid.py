@@ -241,8 +241,11 @@ def regrid(
         raise ValueError(f"unknown method {method}")
 
     def corners(c: str) -> Column:
-        low = F.floor(place(c)).cast("long")
-        share = place(c) - low
+        # a target within 1e-9 of a node sits on it
+        node = F.rint(place(c))
+        at = F.when(F.abs(place(c) - node) < 1e-9, node).otherwise(place(c))
+        low = F.floor(at).cast("long")
+        share = at - low
         return F.filter(
             F.array(
                 F.struct(low.alias("k"), (1 - share).alias("w")), F.struct((low + 1).alias("k"), share.alias("w"))

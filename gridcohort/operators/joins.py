@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import snap
 
 HOT_SHARE = 0.01
 SPLITS = 32
@@ -135,10 +134,18 @@ def cell_lookup(
 
 
 def nearest_cell(points: DataFrame, grid: DataFrame, step: float, offset: float = 0.0, how: str = "left") -> DataFrame:
-    """Value of the closest grid node; grid columns ``lat``/``lon`` become ``grid_lat``/``grid_lon``."""
+    """Value of the closest grid node; grid columns ``lat``/``lon`` become ``grid_lat``/``grid_lon``.
+
+    Points and nodes meet by the whole number of steps, which no rounding of a coordinate can miss.
+    """
+    def index(c: str) -> Column:
+        return F.rint(F.round((F.col(c) - F.lit(offset)) / F.lit(step), 9)).cast("long")
+
     nodes = grid.withColumnsRenamed({"lat": "grid_lat", "lon": "grid_lon"})
-    snapped = points.withColumns({"grid_lat": snap("lat", step, offset), "grid_lon": snap("lon", step, offset)})
-    return skew_join(snapped, nodes, ["grid_lat", "grid_lon"], how)
+    nodes = nodes.withColumns({"_i": index("grid_lat"), "_j": index("grid_lon")})
+    placed = points.withColumns({"_i": index("lat"), "_j": index("lon")})
+    joined = skew_join(placed, nodes, ["_i", "_j"], how).drop("_i", "_j")
+    return joined
 
 
 def label_codes(df: DataFrame, code: str, labels: DataFrame, how: str = "inner") -> DataFrame:

@@ -105,7 +105,8 @@ def density_table(
     """(column, x, density, mean, sd): Gaussian kernel density on an even grid, exact over all rows.
 
     Each grid point is one aggregate, so rows are read once and nothing is repeated per point.
-    Default bandwidth: sample deviation · n^(-1/5).
+    Default bandwidth: sample deviation · n^(-1/5). Where it is zero (a constant, a single or no
+    value) the density is null.
     """
     step = (high - low) / (points - 1)
     at = [low + i * step for i in range(points)]
@@ -114,9 +115,7 @@ def density_table(
         x = F.col(name).cast("double")
         n, mean, sd = df.agg(F.count(x), F.avg(x), F.stddev_samp(x)).first()
         h = bandwidth or (sd or 0.0) * n ** (-0.2) if n else None
-        if not h:
-            continue
-        kernels = [F.avg(F.exp(-((F.lit(g) - x) * (F.lit(g) - x)) / (2 * h * h))) / (h * (2 * 3.141592653589793) ** 0.5) for g in at]
+        kernels = [F.lit(None).cast("double") if not h else F.avg(F.exp(-((F.lit(g) - x) * (F.lit(g) - x)) / (2 * h * h))) / (h * (2 * 3.141592653589793) ** 0.5) for g in at]
         row = df.agg(F.array(*kernels).alias("d"))
         out.append(
             row.select(

@@ -3,110 +3,69 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import interval_bin
+from ..session import materialize
 from .joins import skew_join
 
-# Distinct values that one task may hold; beyond it the search narrows first.
+# Distinct values of a group that one task may hold; with more, values are numbered across partitions.
 SMALL = 100_000
-CUTS = 1000
 
 
-def _order_statistics(values: DataFrame, ranks: Sequence[int], small: int) -> dict[int, float]:
-    """Values at 0-based ranks of column ``v``.
+def quantile_table(values: DataFrame, keys: Sequence[str], probs: Sequence[float], small: int = SMALL) -> DataFrame:
+    """(keys…, edges): linear-interpolated quantiles of the non-null values ``v`` of each group.
 
-    A bracket is an open interval known to hold the rank. Each round reads fixed-size sketches
-    of a bracket, counts rows around two cuts per rank exactly, and keeps the interval between
-    them, so a sketch error only makes the next bracket wider.
+    Where some group has very many distinct values, the counted values of all groups are sorted by
+    range over the partitions. A value's place is its place in its partition plus the counts of the
+    group's partitions before, one row per group and partition. All groups and ranks come from the
+    same two passes, whatever their number, and nothing is collected.
     """
-    found: dict[int, float] = {}
-    todo: list[tuple[float | None, float | None, int, list[int]]] = [(None, None, 0, sorted(ranks))]
-    while todo:
-        lo, hi, below, wanted = todo.pop()
-        inside = values
-        if lo is not None:
-            inside = inside.filter(F.col("v") > lo)
-        if hi is not None:
-            inside = inside.filter(F.col("v") < hi)
-        grid = [i / CUTS for i in range(CUTS + 1)]
-        seen = inside.agg(
-            F.count("*").alias("n"),
-            F.approx_count_distinct("v").alias("kinds"),
-            F.percentile_approx("v", grid, 10 * CUTS).alias("cuts"),
-        ).first()
-        if seen["kinds"] <= small:
-            counted = inside.groupBy("v").agg(F.count("*").alias("c")).orderBy("v").collect()
-            at, upto = 0, below
-            for r in wanted:
-                while upto + counted[at]["c"] <= r:
-                    upto += counted[at]["c"]
-                    at += 1
-                found[r] = counted[at]["v"]
-            continue
-        picks = set()
-        for r in wanted:
-            place = (r - below) / seen["n"] * CUTS
-            picks.add(seen["cuts"][max(math.floor(place) - 2, 0)])
-            picks.add(seen["cuts"][min(math.ceil(place) + 2, CUTS)])
-        cuts = sorted(picks)
-        counts = values.agg(
-            *[F.count_if(F.col("v") < c).alias(f"lt{i}") for i, c in enumerate(cuts)],
-            *[F.count_if(F.col("v") <= c).alias(f"le{i}") for i, c in enumerate(cuts)],
-        ).first()
-        open_parts: dict[int, list[int]] = {}
-        for r in wanted:
-            # First cut that has more than r rows at or below it.
-            i = bisect_left([counts[f"le{j}"] for j in range(len(cuts))], r + 1)
-            if i < len(cuts) and counts[f"lt{i}"] <= r:
-                found[r] = cuts[i]
-            else:
-                open_parts.setdefault(i, []).append(r)
-        for i, rs in open_parts.items():
-            todo.append(
-                (
-                    cuts[i - 1] if i > 0 else lo,
-                    cuts[i] if i < len(cuts) else hi,
-                    counts[f"le{i - 1}"] if i > 0 else below,
-                    rs,
-                )
-            )
-    return found
+    keys, probs = list(keys), [float(p) for p in probs]
+    values = values.filter("v IS NOT NULL")
+    kinds = values.groupBy(*keys).agg(F.approx_count_distinct("v").alias("kinds")).agg(F.max("kinds")).first()[0]
+    if (kinds or 0) <= small:
+        return values.groupBy(*keys).agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("edges"))
+    counted = values.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    ordered = counted.repartitionByRange(*keys, "v").sortWithinPartitions(*keys, "v")
+    placed = materialize(ordered.withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(*keys, "_part").agg(F.sum("c").alias("size"))
+    upto = Window.partitionBy(*keys).orderBy("_part")
+    sizes = sizes.withColumns({"before": F.sum("size").over(upto) - F.col("size"), "n": F.sum("size").over(Window.partitionBy(*keys))})
+    inside = Window.partitionBy("_part", *keys).orderBy("v")
+    on = F.col("a._part") == F.col("b._part")
+    for k in keys:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    numbered = placed.withColumn("cum", F.sum("c").over(inside))
+    joined = numbered.alias("a").join(sizes.alias("b"), on).select("a.*", "b.before", "b.n")
+    end = F.col("before") + F.col("cum")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((end - F.col("c") <= rank) & (rank < end), F.col("v")))
+
+    place = [F.lit(p) * (F.col("n") - 1) for p in probs]
+    found = joined.groupBy(*keys, "n").agg(
+        *[at(F.floor(x)).alias(f"lo{i}") for i, x in enumerate(place)], *[at(F.ceil(x)).alias(f"hi{i}") for i, x in enumerate(place)]
+    )
+    between = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (x - F.floor(x)) for i, x in enumerate(place)]
+    return found.select(*keys, F.array(*between).alias("edges"))
+
+
+def long_values(df: DataFrame, columns: dict[str, Column], group: Sequence[str] = ()) -> DataFrame:
+    """(group…, name, v): the values of several columns below each other."""
+    each = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, c in columns.items()])
+    return df.select(*group, F.explode(each).alias("_x")).select(*group, "_x.*")
 
 
 def many_quantiles(
     df: DataFrame, columns: dict[str, Column], probs: Sequence[float], small: int = SMALL
 ) -> dict[str, list[float]]:
-    """Linear-interpolated quantiles of the non-null values of several columns, on the driver.
-
-    Columns with few distinct values share one aggregation; the others are narrowed one by one.
-    """
-    probs = [float(p) for p in probs]
-    names = list(columns)
-    values = df.select(*[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
-    row = values.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
-        *[F.approx_count_distinct(f"v{i}").alias(f"k{i}") for i in range(len(names))],
-    ).first()
-    few = [i for i in range(len(names)) if row[f"k{i}"] <= small]
-    out = {}
-    if few:
-        point = F.array(*map(F.lit, probs))
-        found = values.agg(*[F.percentile(f"v{i}", point).alias(f"q{i}") for i in few]).first()
-        out = {names[i]: list(found[f"q{i}"] or [math.nan] * len(probs)) for i in few}
-    for i in set(range(len(names))) - set(few):
-        places = [p * (row[f"n{i}"] - 1) for p in probs]
-        ranks = {math.floor(x) for x in places} | {math.ceil(x) for x in places}
-        own = values.select(F.col(f"v{i}").alias("v")).filter("v IS NOT NULL")
-        at = _order_statistics(own, sorted(ranks), small)
-        out[names[i]] = [
-            at[math.floor(x)] + (at[math.ceil(x)] - at[math.floor(x)]) * (x - math.floor(x)) for x in places
-        ]
-    return out
+    """Quantiles of the non-null values of several columns, on the driver; not a number without values."""
+    rows = quantile_table(long_values(df, columns), ["name"], probs, small).collect()
+    found = {r["name"]: list(r["edges"]) for r in rows}
+    return {n: found.get(n, [math.nan] * len(probs)) for n in columns}
 
 
 def exact_quantiles(df: DataFrame, col: Column | str, probs: Sequence[float], small: int = SMALL) -> list[float]:
@@ -117,27 +76,8 @@ def exact_quantiles(df: DataFrame, col: Column | str, probs: Sequence[float], sm
 def grouped_quantiles(
     df: DataFrame, col: str, probs: Sequence[float], group: Sequence[str], small: int = SMALL
 ) -> DataFrame:
-    """One row per group with an array ``edges``. Groups with very many distinct values are narrowed one by one."""
-    group = list(group)
-    values = df.select(*group, F.col(col).cast("double").alias("v")).filter("v IS NOT NULL")
-    kinds = values.groupBy(*group).agg(F.approx_count_distinct("v").alias("kinds"))
-    large = kinds.filter(F.col("kinds") > small).drop("kinds").collect()
-    point = F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("edges")
-    if not large:
-        return values.groupBy(*group).agg(point)
-    schema = kinds.drop("kinds").schema.add("edges", ArrayType(DoubleType()))
-
-    def of(row) -> Column:
-        same = F.lit(True)
-        for g in group:
-            same = same & F.col(g).eqNullSafe(F.lit(row[g]))
-        return same
-
-    rows = [(*row, exact_quantiles(values.filter(of(row)), "v", probs, small)) for row in large]
-    rest = values
-    for row in large:
-        rest = rest.filter(~of(row))
-    return rest.groupBy(*group).agg(point).unionByName(df.sparkSession.createDataFrame(rows, schema))
+    """One row per group with an array ``edges``."""
+    return quantile_table(df.select(*group, F.col(col).cast("double").alias("v")), list(group), probs, small)
 
 
 def quantile_bin(

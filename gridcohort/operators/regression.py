@@ -121,7 +121,7 @@ def _wide_cells(
     p = len(names)
     packed = _packed(p + 1)
     # Any shift gives the same centred products; one near the values keeps the digits.
-    means = base.limit(1000).agg(*[F.avg(c).alias(c) for c in zs]).first()
+    means = base.agg(*[F.avg(c).alias(c) for c in zs]).first()
     shifted = {c: F.coalesce(F.col(c) - F.lit(means[c] or 0.0), F.lit(0.0)) for c in zs}
     cell = [*keys, "_cell"]
     centred = base.select(*cell, "_month", "_last", *[e.alias(c) for c, e in shifted.items()])

@@ -43,7 +43,7 @@ def significance_summary(
 ) -> DataFrame:
     """Per specification: estimates, significant ones by level and sign, consistency of sign, and,
     with ``set_by``, totals of the wider set with their share of all its estimates."""
-    size = F.abs(F.col("coef") / F.col("se"))
+    size = F.abs(F.try_divide("coef", "se"))
     counts = [F.count("coef").alias("estimates")]
     names = []
     for level in levels:
@@ -65,10 +65,10 @@ def finish_summary(counts: DataFrame, names: Sequence[str], set_by: Sequence[str
 def harmonize_extremes(term: Column | str) -> Column:
     """Day-count terms under the names of the temperature terms: hot is the positive side."""
     t = F.col(term) if isinstance(term, str) else term
-    side = F.when(t.rlike("hd"), F.concat(t, F.lit("_pos_int"))).when(
-        t.rlike("fd|id"), F.concat(t, F.lit("_neg_int"))
+    side = F.when(t.rlike("^hd(35|40)_"), F.concat(t, F.lit("_pos_int"))).when(
+        t.rlike("^(fd|id)_"), F.concat(t, F.lit("_neg_int"))
     )
-    return F.regexp_replace(F.coalesce(side, t), r"hd35_|hd40_|fd_|id_", "t_")
+    return F.regexp_replace(F.coalesce(side, t), r"^(hd35|hd40|fd|id)_", "t_")
 
 
 # Term prefixes of the two exposure kinds.
@@ -94,15 +94,17 @@ def with_term_parts(coefs: DataFrame, term: str = "term") -> DataFrame:
 
 
 def coefficient_view(
-    coefs: DataFrame, view: str, min_n: int | None = MIN_SAMPLE, cell_level: int = 1, critical_value: float = 1.96
+    coefs: DataFrame, view: str, min_n: int | None = None, cell_level: int = 1, critical_value: float = 1.96
 ) -> DataFrame:
     """Regrouped coefficients with bounds.
 
     ``horserace``: standard and extreme estimates of a key side by side; ``heterogeneity``: one row
-    per key and group with at least ``min_n`` records; ``window``: the window length split off the
+    per key and group with at least ``min_n`` (by default MIN_SAMPLE) records; ``window``: the window length split off the
     key; ``model``: one row per outcome, cell levels side by side.
     """
     parts = with_term_parts(confidence_bounds(coefs, critical_value)).filter(F.col("kind").isNotNull())
+    if view == "heterogeneity" and min_n is None:
+        min_n = MIN_SAMPLE
     if min_n is not None:
         parts = parts.filter(F.col("n") >= min_n)
     estimate = F.struct("coef", "se", "lower", "upper")

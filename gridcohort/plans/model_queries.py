@@ -30,7 +30,7 @@ from .specs import ModelSpec, run_specs, shock_group, spline_edges, spline_terms
 
 
 def _fe_sql(rows: str, terms: int = 2, trend: str = "linear", group: str = "grp") -> str:
-    """One or two regressors in closed form: rows of (grp, cell, moy, yr, y, x1[, x2])."""
+    """Any number of regressors: rows of (grp, cell, moy, yr, y, x1, x2, …)."""
     xs = [f"x{i}" for i in range(1, terms + 1)]
     extra = ["yr2"] if trend == "quadratic" else []
     zs = ["y", *xs]
@@ -46,27 +46,32 @@ def _fe_sql(rows: str, terms: int = 2, trend: str = "linear", group: str = "grp"
     if extra:
         steps += f", d2 AS ({swept('d1', 'yr2', zs)})"
         last = "d2"
-    if terms == 1:
-        beta = "b1 / a11 AS c1, 0 AS c2"
-        sums = "sum(x1 * x1) AS a11, sum(x1 * y) AS b1, 0 AS a12, 1 AS a22, 0 AS b2"
-        score = "sum(x1 * (y - c1 * x1)) AS s1, 0 AS s2"
-    else:
-        beta = "(a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS c1, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS c2"
-        sums = "sum(x1 * x1) AS a11, sum(x1 * y) AS b1, sum(x1 * x2) AS a12, sum(x2 * x2) AS a22, sum(x2 * y) AS b2"
-        score = "sum(x1 * (y - c1 * x1 - c2 * x2)) AS s1, sum(x2 * (y - c1 * x1 - c2 * x2)) AS s2"
+    k = range(1, terms + 1)
+    sums = ", ".join([f"sum(x{i} * x{j}) AS a{i}_{j}" for i in k for j in k if i <= j] + [f"sum(x{i} * y) AS b{i}" for i in k])
+    # Gauss-Jordan elimination of [A | b | 1], one pivot per step
+    width = range(1, 2 * terms + 2)
+    start = lambda i, j: f"a{min(i, j)}_{max(i, j)}" if j <= terms else f"b{i}" if j == terms + 1 else ("1.0::DOUBLE" if j == terms + 1 + i else "0.0::DOUBLE")
+    entries = ", ".join(f"{start(i, j)} AS m{i}_{j}" for i in k for j in width)
+    solve = f"e0 AS (SELECT {group}, n, g, {entries} FROM totals)"
+    for p in k:
+        row = lambda i, j: f"m{p}_{j} / m{p}_{p}" if i == p else f"m{i}_{j} - m{i}_{p} * m{p}_{j} / m{p}_{p}"
+        solve += f", e{p} AS (SELECT {group}, n, g, {', '.join(f'{row(i, j)} AS m{i}_{j}' for i in k for j in width)} FROM e{p - 1})"
+    c = {i: f"m{i}_{terms + 1}" for i in k}
+    inverse = {(i, j): f"m{i}_{terms + 1 + j}" for i in k for j in k}
+    rest = "y - " + " - ".join(f"{c[i]} * x{i}" for i in k)
+    score = ", ".join(f"sum(x{i} * ({rest})) AS s{i}" for i in k)
+    meat = ", ".join(f"sum(s{i} * s{j}) AS q{i}_{j}" for i in k for j in k if i <= j)
+    variance = lambda i: " + ".join(f"{inverse[i, a]} * q{min(a, b)}_{max(a, b)} * {inverse[i, b]}" for a in k for b in k)
+    factor = f"CAST(g AS DOUBLE) / (g - 1) * (n - 1) / (n - {terms})"
+    shown = " UNION ALL ".join(f"SELECT {group}, {i} AS k, {c[i]} AS coef, sqrt({factor} * ({variance(i)})) AS se, n, g AS n_clusters FROM e{terms} JOIN meats USING ({group})" for i in k)
     return f"""fe_rows AS ({rows}), d0 AS (
       SELECT {group}, cell, {demeaned} FROM (SELECT *, yr * yr AS yr2 FROM (
         SELECT * REPLACE (yr - 2000 AS yr) FROM fe_rows)) WINDOW w AS (PARTITION BY {group}, cell, moy)),
     {steps}, totals AS (SELECT {group}, count(*) AS n, count(DISTINCT cell) AS g, {sums} FROM {last} GROUP BY 1),
-    betas AS (SELECT *, {beta} FROM totals),
-    scores AS (SELECT t.{group}, t.cell, {score} FROM {last} t JOIN betas USING ({group}) GROUP BY 1, 2),
-    meats AS (SELECT {group}, sum(s1 * s1) AS m11, sum(s1 * s2) AS m12, sum(s2 * s2) AS m22 FROM scores GROUP BY 1),
-    inverse AS (SELECT *, a22 / (a11 * a22 - a12 * a12) AS i11, -a12 / (a11 * a22 - a12 * a12) AS i12,
-                       a11 / (a11 * a22 - a12 * a12) AS i22,
-                       CAST(g AS DOUBLE) / (g - 1) * (n - 1) / (n - {terms}) AS f FROM betas JOIN meats USING ({group})),
-    fe AS (
-      SELECT {group}, 1 AS k, c1 AS coef, sqrt(f * (i11 * i11 * m11 + 2 * i11 * i12 * m12 + i12 * i12 * m22)) AS se, n, g AS n_clusters FROM inverse
-      {f'''UNION ALL SELECT {group}, 2, c2, sqrt(f * (i12 * i12 * m11 + 2 * i12 * i22 * m12 + i22 * i22 * m22)), n, g FROM inverse''' if terms == 2 else ''})"""
+    {solve},
+    scores AS (SELECT t.{group}, t.cell, {score} FROM {last} t JOIN e{terms} USING ({group}) GROUP BY 1, 2),
+    meats AS (SELECT {group}, {meat} FROM scores GROUP BY 1),
+    fe AS ({shown})"""
 
 
 X1, X2 = "spi1_inutero_b_avg", "stdm_t_inutero_b_avg"
@@ -147,12 +152,81 @@ def model_grid(spark, d):
     return run_specs(df, specs)
 
 
-@query("spec_id:s group_value:s outcome:s cell_level:i term:s coef:f se:f n:i")
+INUTERO = "stdm_t_inutero_b_avg"
+SHOCK_SQL = f"""shocked AS (SELECT a.*, CASE WHEN {X2} IS NULL THEN false ELSE {X2} < q[1] OR {X2} > q[2] END AS shock
+  FROM analysis a, (SELECT quantile_cont({X2}, [0.15, 0.85]) AS q FROM analysis))"""
+
+
+@query(
+    "group_value:s term:s coef:f se:f n:i n_clusters:i",
+    f"""WITH {ANALYSIS_SQL}, {SHOCK_SQL}, {_fe_sql(f"SELECT shock AS grp, cell, moy, yr, {EVENT} AS y, {INUTERO} AS x1, {P1} AS x2 FROM shocked WHERE {INUTERO} IS NOT NULL AND {P1} IS NOT NULL")}
+    SELECT CAST(grp AS VARCHAR) AS group_value, CASE k WHEN 1 THEN '{INUTERO}' ELSE '{P1}' END AS term, coef, se, n, n_clusters FROM fe""",
+)
 def shock_models(spark, d):
     """Separate models for records outside and inside the central range of one exposure."""
     df = _model_input(spark, d).withColumn("temp_shock", F.col(X2))
     marked = shock_group(df, "temp_shock")
-    return run_specs(marked, [_spec(signs=False, periods=("inutero", "born_1m6m"), cells=("ID_cell1",))], "shock")
+    spec = _spec(signs=False, drought=None, controls=(), periods=("inutero", "born_1m6m"), cells=("ID_cell1",))
+    return run_specs(marked, [spec], "shock")
+
+
+# One exposure in one life period; day counts are made from it, so that every family has its columns.
+ONE = dict(periods=("born_1m6m",), drought=None, controls=(), cells=("ID_cell1",))
+HOT, COLD = "hd35_born_1m6m_b_avg", "fd_born_1m6m_b_avg"
+
+
+def _family_input(spark, d) -> DataFrame:
+    x = F.col(P1)
+    days = {HOT: F.floor(F.abs(x) * 1000) % 29, COLD: F.floor(F.abs(x) * 100000) % 31}
+    return materialize(age_dummies(analysis(spark, d), "age", ["biannual"]).withColumns({n: c.cast("double") for n, c in days.items()}))
+
+
+def _family_sql(parts: dict[str, str], where: str = f"{P1} IS NOT NULL", source: str = "analysis", group: str = "zone") -> str:
+    """SQL of a grouped family: term names and their expressions over the exposure ``x``."""
+    listed = ", ".join(f"{expression} AS x{i}" for i, expression in enumerate(parts.values(), 1))
+    rows = f"""SELECT {group} AS grp, cell, moy, yr, {EVENT} AS y, {listed}
+      FROM (SELECT *, {P1} AS x, floor(abs({P1}) * 1000) % 29 AS hot, floor(abs({P1}) * 100000) % 31 AS cold FROM {source} WHERE {where}) AS r"""
+    names = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(parts, 1))
+    return f"""{_fe_sql(rows, len(parts))}
+    SELECT CAST(grp AS VARCHAR) AS group_value, CASE k {names} END AS term, coef, se, n, n_clusters FROM fe"""
+
+
+FAMILY_COLUMNS = "group_value:s term:s coef:f se:f n:i n_clusters:i"
+SPLINE_PARTS = {
+    f"{P1}_q1_int": "CASE WHEN x < q[1] THEN x ELSE 0 END", f"{P1}_q2_int": "CASE WHEN x >= q[1] AND x <= q[2] THEN x ELSE 0 END",
+    f"{P1}_q3_int": "CASE WHEN x > q[2] AND x <= q[3] THEN x ELSE 0 END", f"{P1}_q4_int": "CASE WHEN x > q[3] THEN x ELSE 0 END",
+}
+SIGN_PARTS = {f"{P1}_neg_int": "CASE WHEN x < 0 THEN x ELSE 0 END", f"{P1}_pos_int": "CASE WHEN x > 0 THEN x ELSE 0 END"}
+
+
+@query(
+    FAMILY_COLUMNS,
+    f"""WITH {ANALYSIS_SQL}, limits AS (SELECT zone, quantile_cont({P1}, [0.25, 0.5, 0.75]) AS q FROM analysis GROUP BY 1),
+    limited AS (SELECT * FROM analysis JOIN limits USING (zone)), {_family_sql(SPLINE_PARTS, source="limited")}""",
+)
+def spline_models(spark, d):
+    """One spline model per zone, with the limits of the zone."""
+    return run_specs(_family_input(spark, d), [_spec(**ONE, family="spline")], "zone")
+
+
+@query(
+    FAMILY_COLUMNS,
+    f"""WITH {ANALYSIS_SQL}, {_family_sql(SIGN_PARTS | {f"{P1}_sq_neg_int": "CASE WHEN x <= 0 THEN x * x ELSE 0 END", f"{P1}_sq_pos_int": "CASE WHEN x >= 0 THEN x * x ELSE 0 END"})}""",
+)
+def signed_quadratic_models(spark, d):
+    return run_specs(_family_input(spark, d), [_spec(**ONE, family="quadratic")], "zone")
+
+
+@query(FAMILY_COLUMNS, f"WITH {ANALYSIS_SQL}, {_family_sql({HOT: 'hot', COLD: 'cold'})}")
+def extremes_models(spark, d):
+    """Hot and cold day counts in place of the temperature."""
+    return run_specs(_family_input(spark, d), [_spec(**ONE, family="extremes")], "zone")
+
+
+@query(FAMILY_COLUMNS, f"WITH {ANALYSIS_SQL}, {_family_sql(SIGN_PARTS | {HOT: 'hot', COLD: 'cold'})}")
+def horserace_models(spark, d):
+    """The temperature and the day counts side by side."""
+    return run_specs(_family_input(spark, d), [_spec(**ONE, family="horserace")], "zone")
 
 
 @query(
@@ -196,7 +270,7 @@ def _estimates(spark, d) -> DataFrame:
         sums.join(nations, "l_suppkey")
         .groupBy(F.col("s_nationkey").alias("nation"), "term_no", "col")
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n"))
-        .filter(f"n > 2 AND term_no <= {len(TERMS)}")
+        .filter(f"n >= 2 AND term_no <= {len(TERMS)}")
     )
     variance = (F.col("b") - F.col("a") * F.col("a") / F.col("n")) / (F.col("n") - 1)
     return total.select(
@@ -218,7 +292,7 @@ est AS (
   SELECT nation, term_no, col, CAST(floor(a / n * 1000) AS BIGINT) AS m,
          CAST(floor(sqrt((b - a * a / n) / (n - 1) / n) * 1000) + 1 AS BIGINT) AS s, n,
          CASE term_no {' '.join(f"WHEN {k} THEN '{v}'" for k, v in TERMS.items())} END AS term
-  FROM sums WHERE n > 2)"""
+  FROM sums WHERE n >= 2)"""
 STARS_SQL = "CASE WHEN abs(m) > 2576 * s / 1000.0 THEN 3 WHEN abs(m) > 1960 * s / 1000.0 THEN 2 WHEN abs(m) > 1645 * s / 1000.0 THEN 1 ELSE 0 END"
 
 

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import day_count_bins, negative_part, positive_part
 from ..operators.cohort import survivors
 from ..operators.features import AGE_BINS, parse_feature
-from ..operators.quantiles import many_quantiles, outside_quantiles
+from ..operators.joins import skew_join
+from ..operators.quantiles import long_values, many_quantiles, outside_quantiles, quantile_table
 from ..operators.regression import fe_steps
+from ..session import materialize
 
 # Period lists of the standard runs, with the exposure scheme and the age bins of the outcome.
 SEMESTER = ("inutero", "born_1m6m", "born_6m12m", "born_12m18m", "born_18m24m", "born_24m30m", "born_30m36m")
@@ -26,6 +28,7 @@ CONTROLS = (
     "mother_eduy", "mother_eduy_squ", "mother_eduy_cub",
 )
 
+QUARTILES = (0.25, 0.5, 0.75)
 FAMILIES = ("linear", "quadratic", "spline", "extremes", "horserace")
 
 
@@ -140,15 +143,31 @@ def model_frame(
 def spline_edges(sample: DataFrame, columns: dict[str, Column], cut: str) -> dict[str, list[float]]:
     """Three limits per column: its quartiles, or minus, zero and plus one standard deviation."""
     if cut == "quartile":
-        return many_quantiles(sample, columns, [0.25, 0.5, 0.75])
+        return many_quantiles(sample, columns, QUARTILES)
     row = sample.agg(*[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns.values())]).first()
     return {name: [-row[f"s{i}"], 0.0, row[f"s{i}"]] for i, name in enumerate(columns)}
 
 
-def spline_terms(name: str, edges: Sequence[float]) -> dict[str, Column]:
+def grouped_edges(sample: DataFrame, columns: dict[str, Column], cut: str, group: str) -> DataFrame:
+    """(group, _edges): the limits of each column in each group, as a map by name. A column without
+    values in a group has no entry."""
+    values = long_values(sample, columns, [group])
+    if cut == "quartile":
+        edges = quantile_table(values, [group, "name"], QUARTILES)
+    else:
+        sd = F.stddev_samp("v")
+        edges = values.groupBy(group, "name").agg(F.array(-sd, F.lit(0.0), sd).alias("edges")).filter("edges[2] IS NOT NULL")
+    return edges.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("name", "edges"))).alias("_edges"))
+
+
+def spline_terms(name: str, edges: Sequence[float] | Column) -> dict[str, Column]:
     """Value times bin: q1 below the first edge, q2 up to the middle one with both ends, q3 up to
-    the last edge, q4 above."""
-    low, mid, high = (F.lit(float(e)) for e in edges)
+    the last edge, q4 above. Null stays null; where there are no edges, because the column has no
+    values, all terms are zero and drop out as collinear."""
+    if isinstance(edges, Column):
+        known, (low, mid, high) = edges.isNotNull(), (F.get(edges, F.lit(i)) for i in range(3))
+    else:
+        known, (low, mid, high) = F.lit(all(e == e for e in edges)), (F.lit(float(e)) for e in edges)
     x = F.col(name)
     inside = {
         "q4": x > high,
@@ -156,14 +175,16 @@ def spline_terms(name: str, edges: Sequence[float]) -> dict[str, Column]:
         "q2": (x >= low) & (x <= mid),
         "q1": x < low,
     }
-    return {f"{name}_{q}_int": F.when(x.isNotNull(), F.when(c, x).otherwise(0.0)) for q, c in inside.items()}
+    return {
+        f"{name}_{q}_int": F.when(~known, 0.0).when(x.isNotNull(), F.when(c, x).otherwise(0.0)) for q, c in inside.items()
+    }
 
 
 def sign_terms(name: str) -> dict[str, Column]:
     return {f"{name}_neg_int": negative_part(name), f"{name}_pos_int": positive_part(name)}
 
 
-def terms(spec: ModelSpec, period: str, edges: dict[str, Sequence[float]] | None = None) -> dict[str, Column]:
+def terms(spec: ModelSpec, period: str, edges: dict[str, Sequence[float] | Column] | None = None) -> dict[str, Column]:
     """Regressors of one period, by name. Nothing is written to the frame."""
 
     def standard(name: str) -> dict[str, Column]:
@@ -224,9 +245,14 @@ def survivor_models(df: DataFrame, spec: ModelSpec, group: str | None = None, wh
     entered = [(s, p) for s, period in enumerate(steps) for p in ([*spec.before, period] if s == 0 else [period])]
     edges = None
     if spec.family == "spline":
-        # Limits of a period come from the sample in which it first appears; all in one pass.
-        seen = {spec.exposure(v, p): F.when(sample[s], F.col(spec.exposure(v, p))) for s, p in entered for v in spec.variables}
-        edges = spline_edges(frame, seen, spec.cut)
+        # A period's terms are made before the events of the period before leave the sample, so its
+        # limits come from that sample; with groups, from the group's records. All in one pass.
+        seen = {spec.exposure(v, p): F.when(sample[max(s - 1, 0)], F.col(spec.exposure(v, p))) for s, p in entered for v in spec.variables}
+        if group:
+            frame = skew_join(frame, materialize(grouped_edges(frame, seen, spec.cut, group)), [group], "left")
+            edges = {name: F.try_element_at("_edges", F.lit(name)) for name in seen}
+        else:
+            edges = spline_edges(frame, seen, spec.cut)
     columns: dict[str, Column] = {}
     first: dict[str, int] = {}
     for s, p in entered:

@@ -84,7 +84,7 @@ def star_counts(lines: DataFrame, keywords: str = KEYWORDS) -> DataFrame:
     """Per file and column: estimates, and starred ones at three levels by sign, as printed."""
     cells = lines.select("file", F.split(F.regexp_replace("text", r"\\_", "_"), "&").alias("cell"))
     named = cells.filter((F.trim(F.col("cell")[0]) != "") & F.col("cell")[0].rlike(keywords))
-    values = named.select("file", F.posexplode(F.slice("cell", 2, 1000000)).alias("specification", "v")).withColumn(
+    values = named.select("file", F.posexplode(F.slice("cell", F.lit(2), F.size("cell"))).alias("specification", "v")).withColumn(
         "v", F.trim(F.regexp_replace("v", r"\\\\", ""))
     )
     n, negative = stars("v"), F.col("v").rlike(r"-.*\.")

@@ -80,11 +80,50 @@ def test_groups_and_families(spark):
     assert counts.loc[specs[0].spec_id].tolist() == [17, 25]
     assert counts.loc[specs[1].spec_id].tolist() == [2 * 8 + 1, 3 * 8 + 1]
     assert counts.loc[specs[2].spec_id].tolist() == [2 * 6 + 1, 3 * 6 + 1]
-    grouped = run_specs(df, [spec(cells=("cell",))], "zone").toPandas()
-    alone = survivor_models(df.filter("zone = 'wet'"), spec(cells=("cell",))).toPandas()
-    merged = grouped[grouped["group_value"] == "wet"].merge(alone, on=["outcome", "term"])
-    np.testing.assert_allclose(merged["coef_x"], merged["coef_y"], rtol=1e-8)
-    assert len(merged) == len(alone)
+
+
+@pytest.mark.parametrize("family,signs,cut", [("linear", True, "quartile"), ("quadratic", True, "quartile"), ("spline", True, "quartile"), ("spline", True, "sd"), ("extremes", True, "quartile"), ("horserace", True, "quartile")])
+def test_a_group_is_fitted_as_if_alone(spark, family, signs, cut):
+    df = spark.createDataFrame(records(1200))
+    one = spec(family=family, signs=signs, cut=cut, cells=("cell",))
+    grouped = run_specs(df, [one], "zone").toPandas()
+    for value in ("wet", "dry"):
+        alone = survivor_models(df.filter(F.col("zone") == value), one).toPandas()
+        merged = grouped[grouped["group_value"] == value].merge(alone, on=["outcome", "term"])
+        assert len(merged) == len(alone) and len(alone)
+        np.testing.assert_allclose(merged["coef_x"], merged["coef_y"], rtol=1e-6, atol=1e-7)
+
+
+def test_spline_limits_come_from_the_sample_before(spark):
+    """The second period's limits still see the events of the first period."""
+    pdf = records(2500)
+    one = spec(family="spline", cells=("cell",))
+    out = survivor_models(spark.createDataFrame(pdf), one).toPandas()
+    got = out[out["outcome"] == "d_biannual_6m12m"].set_index("term")
+    made = {}
+    for p in PERIODS:
+        for var in ("spi1", "stdm_t"):
+            name = f"{var}_{p}_b_avg"
+            x = pdf[name]
+            low, mid, high = (x.quantile(q) for q in (0.25, 0.5, 0.75))
+            for q, hit in (("q1", x < low), ("q2", (x >= low) & (x <= mid)), ("q3", (x > mid) & (x <= high)), ("q4", x > high)):
+                made[f"{name}_{q}_int"] = x.where(hit, 0.0)
+    part = pd.DataFrame(made).assign(rural=pdf["rural"], y=pdf["d_biannual_6m12m"], cell=pdf["cell"], month=pdf["month"], year=pdf["year"])
+    part = part[pdf["d_biannual_1m6m"] == 0]
+    xs = [*made, "rural"]
+    beta, se, _ = dummies_ols(part, xs)
+    np.testing.assert_allclose(got.loc[xs, "coef"], beta, rtol=1e-6, atol=1e-7)
+    np.testing.assert_allclose(got.loc[xs, "se"], se, rtol=1e-6)
+
+
+def test_a_column_without_values_drops_out(spark):
+    pdf = records(600)
+    one = spec(family="spline", cells=("cell",), drought="spi1")
+    df = spark.createDataFrame(pdf).withColumn(one.exposure("spi1", one.steps[0]), F.lit(None).cast("double"))
+    for group in (None, "zone"):
+        out = run_specs(df, [one], group).filter(F.col("outcome") == one.outcome(one.steps[0])).toPandas()
+        empty = out["term"].str.startswith(one.exposure("spi1", one.steps[0]))
+        assert out.loc[empty, "coef"].isna().all() and out.loc[~empty, "coef"].notna().all() and (out["n"] > 0).all()
 
 
 def test_wide_specification_plans_quickly(spark):
@@ -130,7 +169,7 @@ def test_window_view_and_sample_gate(spark, tmp_path):
     rows = [("s", "o", 1, f"stdm_t_born_1m_b_w{k}_pos_int", float(k), 0.1, 200_000) for k in (1, 2, 10)]
     rows.append(("s", "o", 1, "stdm_t_born_1m_b_w3_pos_int", 3.0, 0.1, 99_999))
     coefs = spark.createDataFrame(rows, "spec_id string, outcome string, cell_level int, term string, coef double, se double, n long")
-    out = coefficient_view(coefs, "window").orderBy("coef").collect()
+    out = coefficient_view(coefs, "window", min_n=100_000).orderBy("coef").collect()
     assert [(r["window"], r["key"]) for r in out] == [(f"w{k}", "born_1m_b_pos_int") for k in (1, 2, 10)]
     write_coefficients(coefs, str(tmp_path / "c"), order=["stdm_t_born_1m_b_w2_pos_int"])
     back = spark.read.parquet(str(tmp_path / "c"))
