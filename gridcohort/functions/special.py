@@ -85,8 +85,6 @@ LARGE_SHAPE = 1e4
 # Within this distance from the mean the expansion's coefficients come from their series.
 NEAR = 0.02
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-
 
 def _large_shape_cdf(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Temme's uniform expansion of P(a, x), two terms; its error falls with a ** -2.5."""
@@ -100,7 +98,8 @@ def _large_shape_cdf(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     near = np.abs(mu) < NEAR
     first, second = (np.where(near, s, e) for s, e in zip(series, exact))
     rest = np.exp(-a * half) / np.sqrt(2 * np.pi * a) * (first + second / a)
-    return 0.5 * _erfc(-eta * np.sqrt(a / 2)).astype(float) - rest
+    erfc = np.frompyfunc(math.erfc, 1, 1)
+    return 0.5 * erfc(-eta * np.sqrt(a / 2)).astype(float) - rest
 
 
 def gamma_cdf_array(a: np.ndarray, x: np.ndarray, terms: int = 4000) -> np.ndarray:

@@ -59,42 +59,35 @@ def survivors(df: DataFrame, age: str, min_age: int) -> DataFrame:
     return df.filter(F.col(age).isNull() | (F.col(age) >= min_age))
 
 
-def rank_within(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], tie: str, out: str, width: int = 1_000_000
-) -> DataFrame:
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], tie: str, out: str) -> DataFrame:
     """1-based position of each row among the rows of its key, by ``order`` and then ``tie``.
 
-    ``tie`` is a unique whole number. Rows are ranked inside slices of (key, order, tie div
-    ``width``), which hold at most ``width`` rows each, and shifted by the rows of earlier slices,
-    counted beforehand. One key may own most of the table without reaching a single task; the
-    table itself is shuffled once, by slice.
+    ``tie`` is unique. Rows are range-partitioned by (key, order, tie), so one key may own most of
+    the table and still spread over many tasks. A row's position is its position in its partition
+    plus the rows of its key in the partitions before, of which there is one number per key and
+    partition. The partitioned table is written once: counts and rows need the same layout.
     """
-    part = [*keys, *order, "_slice"]
-    sliced = df.withColumn("_slice", F.floor(F.col(tie) / F.lit(width)).cast("long"))
-    counts = sliced.groupBy(*part).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(*order, "_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shifted = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in part]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    joined = sliced.alias("a").join(shifted.alias("b"), condition).select("a.*", "b._shift")
-    inside = Window.partitionBy(*part).orderBy(tie)
-    return joined.withColumn(out, (F.col("_shift") + F.row_number().over(inside)).cast("int")).drop("_slice", "_shift")
+    name = [*keys, *order, tie]
+    ordered = df.repartitionByRange(*name).sortWithinPartitions(*name)
+    placed = materialize(ordered.withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order, tie)
+    upto = Window.partitionBy(*keys).orderBy("_part")
+    sizes = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    shift = sizes.select(*keys, "_part", (F.sum("_n").over(upto) - F.col("_n")).alias("_shift"))
+    on = F.col("a._part") == F.col("b._part")
+    for k in keys:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    numbered = placed.withColumn("_place", F.row_number().over(inside)).alias("a").join(shift.alias("b"), on)
+    return numbered.select(*[f"a.{c}" for c in df.columns], (F.col("a._place") + F.col("b._shift")).alias(out))
 
 
 def birth_order(df: DataFrame, mother: str, month: str, tie: str, out: str = "birth_order") -> DataFrame:
     return rank_within(df, [mother], [month], tie, out)
 
 
-def number_keys(df: DataFrame, keys: Sequence[str], out: str, start: int = 0) -> DataFrame:
-    """The distinct keys in ascending order with consecutive numbers from ``start``.
-
-    The keys are range-partitioned and numbered inside their partition; only the row counts of
-    the partitions are added up. The numbered table is written once, because the partition layout
-    has to be the same for the counts and for the rows.
-    """
-    ordered = df.select(*keys).distinct().orderBy(*keys)
+def _numbered(ordered: DataFrame, columns: Sequence[str], out: str, start: int) -> DataFrame:
+    """Rows of a sorted frame with consecutive numbers: the place in the partition plus the rows of
+    the partitions before. The frame is written once, because counts and rows need one layout."""
     placed = materialize(ordered.withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
@@ -103,7 +96,12 @@ def number_keys(df: DataFrame, keys: Sequence[str], out: str, start: int = 0) ->
     shift = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     numbered = placed.withColumn("_part", part).join(F.broadcast(shift), "_part")
     inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.select(*keys, (F.col("_shift") + inside + start).cast("long").alias(out))
+    return numbered.select(*columns, (F.col("_shift") + inside + start).cast("long").alias(out))
+
+
+def number_keys(df: DataFrame, keys: Sequence[str], out: str, start: int = 0) -> DataFrame:
+    """The distinct keys in ascending order with consecutive numbers from ``start``."""
+    return _numbered(df.select(*keys).distinct().orderBy(*keys), keys, out, start)
 
 
 def dense_group_id(df: DataFrame, keys: Sequence[str], out: str, start: int = 0) -> DataFrame:
@@ -113,4 +111,4 @@ def dense_group_id(df: DataFrame, keys: Sequence[str], out: str, start: int = 0)
 
 def row_ids(df: DataFrame, order: Sequence[str], out: str = "ID") -> DataFrame:
     """Consecutive numbers from 0 over rows that are unique by ``order``."""
-    return skew_join(df, number_keys(df, order, out), order)
+    return _numbered(df.orderBy(*order), df.columns, out, 0)

@@ -201,6 +201,7 @@ def exposure_features(
     Points and grid months of a cell are laid on one time line and each period is a frame of
     months ahead of the start, so nothing is repeated per offset: the grid is shuffled once by
     cell, and only cells that hold a point take part. A missing month is left out of the mean.
+    A point without any grid month in its window has no row, as in the long form.
     """
     periods = list(periods or period_table())
     starts = points.select(*cell, start).distinct()
@@ -210,21 +211,22 @@ def exposure_features(
         series.withColumn("_asked", F.lit(False))
         .unionByName(asked, allowMissingColumns=True)
         .groupBy(*cell, month)
-        .agg(F.max("_asked").alias("_asked"), *[F.max(v).alias(v) for v in values])
+        .agg(F.max("_asked").alias("_asked"), F.bool_or(~F.col("_asked")).alias("_known"), *[F.max(v).alias(v) for v in values])
     )
     order = Window.partitionBy(*cell).orderBy(month_index(F.col(month)))
     frames = {
         p.name(v): _AGGREGATES[_aggregate(p.stat)](F.col(v)).over(order.rangeBetween(p.first, p.end)) for p in periods for v in values
     }
-    wide = line.select(*cell, month, "_asked", *[c.alias(n) for n, c in frames.items()])
-    return wide.filter("_asked").drop("_asked").withColumnRenamed(month, start)
+    known = F.max("_known").over(order.rangeBetween(0, WINDOW_MONTHS - 1))
+    wide = line.select(*cell, month, "_asked", known.alias("_known"), *[c.alias(n) for n, c in frames.items()])
+    return wide.filter("_asked AND _known").drop("_asked", "_known").withColumnRenamed(month, start)
 
 
 def assign_exposure(
-    records: DataFrame, exposure: DataFrame, keys: Sequence[str], salt_by: Sequence[str] | None = None
+    records: DataFrame, exposure: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
     """Exposures of each record's point; records without one drop out."""
-    return skew_join(records, exposure, keys, "inner", salt_by)
+    return skew_join(records, exposure, keys)
 
 
 def widen_exposure(long: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:

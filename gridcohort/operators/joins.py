@@ -6,71 +6,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
 
-HOT_SHARE = 0.01
-SPLITS = 32
 
+# Rows of one key that a single task should take at most.
+TARGET_ROWS = 2_000_000
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's own size estimate, None where the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
 
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """True if Spark's size check will let it broadcast this frame by itself."""
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    if text.startswith("-"):
-        return False
-    limit = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
-    size = estimated_bytes(df)
-    return size is not None and size <= limit
-
-
-def hot_key_hashes(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of every key with more than ``share`` of the rows.
-
-    At most 1/share keys can be that frequent, so the list is bounded however large the table is.
-    One pass over the key columns, merged from partial counts.
-    """
-    keys = df.select(F.xxhash64(*on).alias("key"))
-    return sorted(keys.freqItems(["key"], share).first()[0] or [])
-
-
-def skew_join(
-    fact: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    salt_by: Sequence[str] | None = None,
-    splits: int = SPLITS,
-    share: float = HOT_SHARE,
-) -> DataFrame:
+def skew_join(fact: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a large frame to a lookup with few rows per key (inner, left, left_semi or left_anti).
 
-    A lookup within Spark's broadcast limit is left to Spark. Beyond it, rows of keys that hold
-    more than ``share`` of the fact table are spread over ``splits`` parts by a hash of
-    ``salt_by``, and only those keys of the lookup are repeated.
+    The frame with the many rows is on the left, where adaptive execution can split a partition
+    that one key fills, by its actual bytes, and repeat the lookup's part for each piece; a small
+    lookup is broadcast by its measured size. So no job runs before the join does. Needs
+    ``spark.sql.adaptive.enabled``, which is Spark's default.
     """
-    on = list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    if fits_broadcast(lookup):
-        return fact.join(lookup, on, how)
-    hot = hot_key_hashes(fact, on, share)
-    if not hot:
-        return fact.join(lookup, on, how)
-    types = dict(fact.dtypes)
-    lookup = lookup.withColumns({c: F.col(c).cast(types[c]) for c in on})
-    is_hot = F.xxhash64(*on).isin(hot)
-    spread = F.pmod(F.xxhash64(*(salt_by or fact.columns)), F.lit(splits)).cast("int")
-    salted = fact.withColumn("_part", F.when(is_hot, spread).otherwise(0))
-    repeated = lookup.withColumn(
-        "_part", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0))))
-    )
-    return salted.join(repeated, [*on, "_part"], how).drop("_part")
+    return fact.join(lookup, list(on), how)
+
+
+def hot_parts(df: DataFrame, keys: Sequence[str], rows: int = TARGET_ROWS) -> DataFrame:
+    """(keys…, _parts): in how many parts the rows of a key go, for keys with more than ``rows`` rows."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > rows)
+    return counts.select(*keys, F.ceil(F.col("_rows") / F.lit(rows)).cast("int").alias("_parts"))
 
 
 def duplicate_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -87,8 +46,15 @@ def checked_join(
         if found:
             raise ValueError(f"{name} side repeats the key {found[0].asDict()}")
     if validate == "1:m":
-        # The right side has the many rows, so it is the one to spread.
-        return skew_join(right, left, on) if how == "inner" else left.join(right, list(on), how)
+        # The right side has the many rows, so it goes to the left of the join.
+        order = [*on, *[c for c in left.columns if c not in on], *[c for c in right.columns if c not in on]]
+        matched = skew_join(right, left, on).select(*order)
+        if how == "inner":
+            return matched
+        if how == "left":
+            alone = left.join(right.select(*on), list(on), "left_anti")
+            return matched.unionByName(alone, allowMissingColumns=True)
+        return left.join(right, list(on), how)
     return skew_join(left, right, on, how)
 
 
@@ -190,6 +156,7 @@ def nearest_within(
     nodes = right.groupBy(F.col(x).cast("double").alias("rx"), F.col(y).cast("double").alias("ry")).agg(
         F.min(right_id).alias(right_id)
     )
+    nodes = materialize(nodes)  # read once per level
 
     def cell(c: str, size: float) -> Column:
         return F.floor(F.col(c) / F.lit(size)).cast("long")
@@ -197,12 +164,13 @@ def nearest_within(
     def located(size: float) -> DataFrame:
         return nodes.withColumns({"cx": cell("rx", size), "cy": cell("ry", size)})
 
-    depth = 0
-    while depth < max_depth:
-        crowd = located(max_distance / 2**depth).groupBy("cx", "cy").count().agg(F.max("count")).first()[0]
-        if crowd is None or crowd <= leaf:
-            break
-        depth += 1
+    # The crowding of all depths in one pass over the nodes.
+    side = F.lit(max_distance) / F.pow(F.lit(2.0), F.col("d"))
+    placed = nodes.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(max_depth - 1)))).select(
+        "d", F.floor(F.col("rx") / side).alias("cx"), F.floor(F.col("ry") / side).alias("cy")
+    )
+    crowds = placed.groupBy("d", "cx", "cy").count().groupBy("d").agg(F.max("count").alias("most")).collect()
+    depth = min([r["d"] for r in crowds if r["most"] <= leaf], default=max_depth if crowds else 0)
 
     positions = left.select(F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).distinct()
     around = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
@@ -222,7 +190,7 @@ def nearest_within(
             .agg(F.collect_set(F.struct("cx", "cy")).alias("inside"))
             .withColumnsRenamed({"ux": "cx", "uy": "cy"})
         )
-        stepped = skew_join(frontier, children, ["cx", "cy"], salt_by=["px", "py"]).select(
+        stepped = skew_join(frontier, children, ["cx", "cy"]).select(
             "px", "py", F.explode("inside").alias("c")
         )
         low_x, low_y = F.col("c.cx") * F.lit(half), F.col("c.cy") * F.lit(half)
@@ -241,7 +209,7 @@ def nearest_within(
         )
     finest = located(max_distance / 2**depth)
     leaves = finest.groupBy("cx", "cy").agg(F.collect_list(F.struct("rx", "ry", right_id)).alias("inside"))
-    pairs = skew_join(frontier, leaves, ["cx", "cy"], salt_by=["px", "py"]).select(
+    pairs = skew_join(frontier, leaves, ["cx", "cy"]).select(
         "px", "py", F.explode("inside").alias("r")
     )
     gap = F.sqrt(F.pow(F.col("r.rx") - F.col("px"), 2) + F.pow(F.col("r.ry") - F.col("py"), 2))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..session import materialize
-from .joins import HOT_SHARE, SPLITS, hot_key_hashes
+from .joins import hot_parts
 
 # Up to this many variables the cross-products are one built-in aggregation.
 NATIVE_LIMIT = 10
@@ -145,12 +145,12 @@ def _wide_cells(
         monthly = monthly.withColumn("_one", F.lit(1.0))
 
     tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = hot_key_hashes(base, cell, HOT_SHARE)
+    hot = hot_parts(base, cell)
 
     def spread(df: DataFrame, last: str, by: list[str]) -> DataFrame:
-        part = F.pmod(F.xxhash64(*by), F.lit(SPLITS))
-        part = F.when(F.xxhash64(*cell).isin(hot), part).otherwise(F.lit(0)) if hot else F.lit(0)
-        return df.withColumn("_part", part).repartition(tasks, *cell, "_part").sortWithinPartitions(*cell, last)
+        known = df.join(hot, cell, "left")
+        part = F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1)))
+        return known.withColumn("_part", part).drop("_parts").repartition(tasks, *cell, "_part").sortWithinPartitions(*cell, last)
 
     def of_used(gram: np.ndarray, step: int) -> np.ndarray:
         keep = np.array([*used[step], True])
@@ -208,7 +208,31 @@ def _sweep(gram: np.ndarray, first: int) -> np.ndarray:
 
 
 def vector_sums(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
-    """Element-wise sum of array columns; arrays of one length, so the last group is bounded."""
+    """Element-wise sum of array columns of one length: summed inside each task's batches first, so
+    that only a few arrays per task are taken apart."""
+
+    def summed(batches):
+        totals: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            frame = pd.DataFrame([(*k, v) for k, v in totals.items()], columns=[*by, column])
+            totals.clear()
+            return frame
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                key, values = row[:-1], np.asarray(row[-1], "float64")
+                if key in totals:
+                    totals[key] += values
+                else:
+                    totals[key] = values.copy()
+            if len(totals) > 200:
+                yield flush()
+        if totals:
+            yield flush()
+
+    df = df.select(*by, column)
+    df = df.mapInPandas(summed, df.schema)
     parts = df.select(*by, F.posexplode(column)).groupBy(*by, "pos").agg(F.sum("col").alias("s"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "s")))
     return parts.groupBy(*by).agg(F.transform(ordered, lambda x: x["s"]).alias(column))
@@ -279,11 +303,9 @@ def _estimate(cells: DataFrame, keys: list[str], xs: list[str], p: int, correcti
 
     fits = totals.mapInPandas(solved, _schema(cells, keys, "beta", "inverse", "fit"))
 
-    # Every cell needs its group's coefficients: one row per group, repeated for a few salts so
-    # that a group with most of the cells is spread.
-    salted = reduced.withColumn("_part", F.pmod(F.xxhash64("stats"), F.lit(SPLITS)).cast("int"))
-    betas = fits.select(*keys, "beta", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("_part"))
-    scored = salted.join(betas, [*keys, "_part"]).select(*keys, "stats", "beta")
+    # Every cell needs its group's coefficients. There is one row per group: Spark broadcasts it
+    # by its measured size, or splits a group with most of the cells.
+    scored = reduced.join(fits.select(*keys, "beta"), keys).select(*keys, "stats", "beta")
 
     def meats(batches):
         totals = {}

@@ -23,7 +23,7 @@ from ..operators.grid import (
     select_months,
     standardized_anomaly,
 )
-from ..operators.spi import spi
+from ..operators.spi import spi, spi_scales
 from .registry import query
 from .roles import (
     ANOMALY_SQL,
@@ -339,12 +339,11 @@ def _quantile_sql(p: str) -> str:
       ELSE {_poly(r, QUANTILE_A)} * {c} / {_poly(r, QUANTILE_B, True)} END"""
 
 
-@query(
-    "cell:i month:d spi3:f",
-    f"""WITH {GRID_SQL}, n AS (SELECT *, {INDEX} AS i FROM grid), acc AS (
-      SELECT cell, month, CASE WHEN count(tp) OVER a = 3 THEN sum(tp) OVER a END AS x
-      FROM n WINDOW a AS (PARTITION BY cell ORDER BY i RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)),
-    cal AS (SELECT *, CASE WHEN year(month) BETWEEN 1996 AND 2000 THEN x END AS c FROM acc),
+def _spi_sql(scale: int, calibration: str = "x") -> str:
+    return f"""WITH {GRID_SQL}, n AS (SELECT *, {INDEX} AS i FROM grid), acc AS (
+      SELECT cell, month, CASE WHEN count(tp) OVER a = {scale} THEN sum(tp) OVER a END AS x
+      FROM n WINDOW a AS (PARTITION BY cell ORDER BY i RANGE BETWEEN {scale - 1} PRECEDING AND CURRENT ROW)),
+    cal AS (SELECT *, {calibration} AS c FROM acc),
     stats AS (
       SELECT cell, month, x, avg(CAST(c <= 0 AS DOUBLE)) OVER m AS q, avg(CASE WHEN c > 0 THEN c END) OVER m AS mu,
              ln(avg(CASE WHEN c > 0 THEN c END) OVER m) - avg(CASE WHEN c > 0 THEN ln(c) END) OVER m AS a
@@ -357,7 +356,18 @@ def _quantile_sql(p: str) -> str:
               CAST(greatest(0, z - shape) + 14 * sqrt(z) + 60 AS BIGINT)),
         lambda k: exp((shape + k) * ln(z) - z - lgamma(shape + k + 1)))) AS p FROM std),
     mixed AS (SELECT cell, month, CASE WHEN p IS NOT NULL THEN least(greatest(q + (1 - q) * p, 1e-12), 1 - 1e-12) END AS h FROM cdf)
-    SELECT cell, month, CASE WHEN h IS NOT NULL THEN least(greatest({_quantile_sql("h")}, -3.09), 3.09) END AS spi3 FROM mixed""",
+    SELECT cell, month, CASE WHEN h IS NOT NULL THEN least(greatest({_quantile_sql("h")}, -3.09), 3.09) END AS spi{scale} FROM mixed"""
+
+
+@query(
+    "cell:i month:d spi1:f spi3:f spi12:f",
+    f"SELECT * FROM ({_spi_sql(1)}) JOIN ({_spi_sql(3)}) USING (cell, month) JOIN ({_spi_sql(12)}) USING (cell, month)",
 )
+def spi_all_scales(spark, d):
+    """Several accumulation scales in one exchange, fitted on all years."""
+    return spi_scales(grid_coarse(spark, d), "tp", (1, 3, 12), keys=["cell"]).select("cell", "month", "spi1", "spi3", "spi12")
+
+
+@query("cell:i month:d spi3:f", _spi_sql(3, "CASE WHEN year(month) BETWEEN 1996 AND 2000 THEN x END"))
 def spi_gamma(spark, d):
     return spi(grid_coarse(spark, d), "tp", 3, calib=(1996, 2000), keys=["cell"])

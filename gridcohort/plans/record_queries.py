@@ -201,10 +201,7 @@ def _wide_columns(periods, values=("spi1", "stdm_t")) -> str:
 @query(_wide_columns(TRAILING), f"WITH {EXPOSURE_BASE} SELECT * FROM ({_wide_sql(TRAILING)})")
 def trailing_exposure(spark, d):
     points = births(spark, d).select("cell", "from_date")
-    # Points without a single month in the grid leave, as in an inner join.
-    full = Period("all", "window", "avg", 0, WINDOW_MONTHS - 1)
-    wide = exposure_features(points, anomaly_grid(spark, d), ["spi1", "stdm_t"], [*TRAILING, full], ["cell"])
-    return wide.filter(F.col(full.name("stdm_t")).isNotNull())
+    return exposure_features(points, anomaly_grid(spark, d), ["spi1", "stdm_t"], TRAILING, ["cell"])
 
 
 AVERAGES = [p for p in period_table() if p.stat == "avg"]
@@ -214,9 +211,7 @@ AVERAGES = [p for p in period_table() if p.stat == "avg"]
 def exposure_wide(spark, d):
     """Every scheme's averages: the frame form of the exposure."""
     points = births(spark, d).select("cell", "from_date")
-    full = Period("all", "window", "avg", 0, WINDOW_MONTHS - 1)
-    wide = exposure_features(points, anomaly_grid(spark, d), ["spi1", "stdm_t"], [*AVERAGES, full], ["cell"])
-    return wide.filter(F.col(full.name("stdm_t")).isNotNull())
+    return exposure_features(points, anomaly_grid(spark, d), ["spi1", "stdm_t"], AVERAGES, ["cell"])
 
 
 SEMESTERS = [p for p in period_table() if p.scheme == "b" and p.stat == "avg"]

@@ -88,7 +88,7 @@ def births(spark: SparkSession, d: str) -> DataFrame:
         F.col("c_acctbal").alias("wealth"),
     )
     gap = F.pmod(month_index(F.col("first_ship")) - month_index(F.col("birth_date")), F.lit(120))
-    joined = skew_join(orders.join(shipped, "id", "left"), people, ["mother"], salt_by=["id"])
+    joined = skew_join(orders.join(shipped, "id", "left"), people, ["mother"])
     return joined.withColumns(
         {
             "from_date": F.add_months("birth_date", -9),
@@ -148,7 +148,7 @@ def semester_exposure(spark: SparkSession, d: str, records: DataFrame) -> DataFr
 def analysis(spark: SparkSession, d: str) -> DataFrame:
     """Records with exposures, outcome age, month and year, and three cell levels."""
     records = births(spark, d)
-    joined = skew_join(records, semester_exposure(spark, d, records), ["cell", "from_date"], salt_by=["id"])
+    joined = skew_join(records, semester_exposure(spark, d, records), ["cell", "from_date"])
     return joined.withColumns(
         {
             "chb_month": F.month("birth_date"),

@@ -7,20 +7,27 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.columns import clean_nans
+from ..operators.joins import TARGET_ROWS, hot_parts
+
+
+def _known(df: DataFrame) -> DataFrame:
+    return clean_nans(df, [c for c, kind in df.dtypes if kind in ("float", "double")])
+
 
 def read_series(spark: SparkSession, folder: str, schema: StructType | str | None = None) -> DataFrame:
-    """Every Parquet file below a folder as one series; files may differ in their columns."""
+    """Every Parquet file below a folder as one series; files may differ in their columns. NaN reads as null."""
     reader = spark.read.option("recursiveFileLookup", "false")
     if schema is not None:
-        return reader.schema(schema).parquet(folder)
-    return reader.option("mergeSchema", "true").parquet(folder)
+        return _known(reader.schema(schema).parquet(folder))
+    return _known(reader.option("mergeSchema", "true").parquet(folder))
 
 
 def read_columns(spark: SparkSession, path: str, drop: Callable[[str], bool] | Sequence[str]) -> DataFrame:
-    """All columns but the unwanted ones; only the kept ones are read from the file."""
+    """All columns but the unwanted ones; only the kept ones are read from the file. NaN reads as null."""
     df = spark.read.parquet(path)
     unwanted = drop if callable(drop) else set(drop).__contains__
-    return df.select(*[c for c in df.columns if not unwanted(c)])
+    return _known(df.select(*[c for c in df.columns if not unwanted(c)]))
 
 
 def read_csv_folder(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
@@ -42,15 +49,16 @@ def with_lat_band(df: DataFrame, lat: str = "lat", width: float = 5.0) -> DataFr
     return df.withColumn("lat_band", F.floor(F.col(lat) / F.lit(width)).cast("int"))
 
 
-def write_banded(df: DataFrame, path: str, lat: str = "lat", width: float = 5.0, splits: int = 16) -> None:
+def write_banded(df: DataFrame, path: str, lat: str = "lat", width: float = 5.0, rows: int = TARGET_ROWS) -> None:
     """Parquet by latitude band, so that a latitude filter reads only its bands.
 
-    Each band is written by up to ``splits`` tasks, spread by a hash of the row: a populous band
-    does not end in one task.
+    A band is written by as many tasks as it has multiples of ``rows`` rows, spread by a hash of
+    the row: a populous band does not end in one task.
     """
     banded = with_lat_band(df, lat, width)
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(splits))
-    banded.repartition("lat_band", spread).sortWithinPartitions("lat_band", lat).write.mode("overwrite").partitionBy(
+    parts = banded.join(hot_parts(banded, ["lat_band"], rows), "lat_band", "left")
+    spread = F.pmod(F.xxhash64(*df.columns), F.coalesce("_parts", F.lit(1)))
+    parts.repartition("lat_band", spread).drop("_parts").sortWithinPartitions("lat_band", lat).write.mode("overwrite").partitionBy(
         "lat_band"
     ).parquet(path)
 

@@ -55,7 +55,7 @@ def test_tables(spark, tmp_path):
 
     grid = spark.range(200).select((F.col("id") % 40 - 20).cast("double").alias("lat"), F.col("id").alias("v"))
     banded = str(tmp_path / "banded")
-    tables.write_banded(grid, banded, splits=2)
+    tables.write_banded(grid, banded, rows=50)
     back = tables.read_series(spark, banded)
     assert back.count() == 200
     plan = back.filter("lat_band = 1")._jdf.queryExecution().executedPlan().toString()
