@@ -172,6 +172,7 @@ def one_hot_bins(
     }
 
 
+# Day-count ranges, left-closed.
 DAY_COUNT_BINS = ((1, 10), (10, 20), (20, 30))
 
 

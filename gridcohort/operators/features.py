@@ -11,27 +11,31 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.columns import narrowest_type, one_hot_bins
 from .joins import skew_join
 
-# Age-at-event bins (months, left-closed) by scheme; None is the open end.
+INFINITY = float("inf")
+
+# Age-at-event bins (months, left-closed) by scheme.
 AGE_BINS = {
-    "quarterly": ([0, 3, 6, 9, 12, 15, None], ["1m3m", "3m6m", "6m9m", "9m12m", "12m15m", "alive"]),
+    "quarterly": ([0, 3, 6, 9, 12, 15, INFINITY], ["1m3m", "3m6m", "6m9m", "9m12m", "12m15m", "alive"]),
     "biannual": (
-        [0, 6, 12, 18, 24, 30, 36, None],
+        [0, 6, 12, 18, 24, 30, 36, INFINITY],
         ["1m6m", "6m12m", "12m18m", "18m24m", "24m30m", "30m36m", "alive"],
     ),
-    "inutero": ([0, 1, 3, 7, None], ["1m", "2m3m", "3m7m", "alive"]),
-    "months": ([0, 1, 2, 3, 4, 5, 6, None], ["1m", "2m", "3m", "4m", "5m", "6m", "alive"]),
+    "inutero": ([0, 1, 3, 7, INFINITY], ["1m", "2m3m", "3m7m", "alive"]),
+    "months": ([0, 1, 2, 3, 4, 5, 6, INFINITY], ["1m", "2m", "3m", "4m", "5m", "6m", "alive"]),
 }
 ALIVE = 1000
 
 # Schooling bins (right-closed) and their labels.
-EDUCATION_EDGES = [0, 7, 13, 35, float("inf")]
+EDUCATION_EDGES = [0, 7, 13, 35, INFINITY]
 EDUCATION_LABELS = ["6 years or less", "6-12 years", "more than 12 years", "No data"]
 
 # Climate class codes 1..31 in order, and the two coarser label levels.
 CLASS_LEVEL_3 = (
-    "Af Am As Aw BSh BSk BWh BWk Cfa Cfb Cfc Csa Csb Csc Cwa Cwb Cwc "
-    "Dfa Dfb Dfc Dfd Dsa Dsb Dsc Dsd Dwa Dwb Dwc Dwd EF ET"
-).split()
+    "Af", "Am", "As", "Aw", "BSh", "BSk", "BWh", "BWk", "Cfa", "Cfb",
+    "Cfc", "Csa", "Csb", "Csc", "Cwa", "Cwb", "Cwc", "Dfa", "Dfb", "Dfc",
+    "Dfd", "Dsa", "Dsb", "Dsc", "Dsd", "Dwa", "Dwb", "Dwc", "Dwd", "EF",
+    "ET",
+)
 CLASS_LEVEL_2 = {
     "Af": "Tropical (Rainforest)",
     "Am": "Tropical (Monsoon)",
@@ -65,8 +69,7 @@ def age_dummies(df: DataFrame, age: str, schemes: Sequence[str] = tuple(AGE_BINS
     new = {}
     for scheme in schemes:
         edges, labels = AGE_BINS[scheme]
-        closed = [float("inf") if e is None else e for e in edges]
-        new |= one_hot_bins(filled, closed, labels, f"{age}_{scheme}_")
+        new |= one_hot_bins(filled, edges, labels, f"{age}_{scheme}_")
     return df.withColumns(new)
 
 

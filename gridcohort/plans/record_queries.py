@@ -103,7 +103,7 @@ def birth_rank(spark, d):
 def rank_in_large_groups(spark, d):
     """Three keys hold all rows; each is ranked in slices of 4096 ids."""
     orders = table(spark, d, "orders").withColumnRenamed("o_orderkey", "id")
-    return rank_within(orders, ["o_orderstatus"], ["o_orderpriority"], "id", "place", width=4096)
+    return rank_within(orders, ["o_orderstatus"], ["o_orderpriority"], "id", "place")
 
 
 @query(
@@ -373,7 +373,7 @@ def _age_sql() -> str:
     out = []
     for scheme, (edges, labels) in AGE_BINS.items():
         for a, b, label in zip(edges, edges[1:], labels):
-            upper = "" if b is None else f" AND filled < {b}"
+            upper = "" if b == float("inf") else f" AND filled < {b}"
             out.append(f'CASE WHEN filled >= {a}{upper} THEN 1000 ELSE 0 END AS "age_{scheme}_{label}"')
     return ", ".join(out)
 

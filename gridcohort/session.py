@@ -30,26 +30,38 @@ def session(master: str | None = None, app: str = "gridcohort", **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; a private one only where none is named."""
+    """A subfolder of the session's own in the cluster's shared checkpoint folder.
+
+    ``spark.checkpoint.dir`` names the shared folder. Only a local session without that setting
+    gets a private one.
+    """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="gridcohort-checkpoint-")
-    context.setCheckpointDir(named)
-    return named
+        if context.applicationId not in _private:
+            _private[context.applicationId] = tempfile.mkdtemp(prefix="gridcohort-checkpoint-")
+        named = _private[context.applicationId]
+    return f"{named.rstrip('/')}/gridcohort-{context.applicationId}"
+
+
+_private: dict[str, str] = {}
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate result once, as Parquet in the checkpoint folder, and read it from there.
+    """Write an intermediate result once, as Parquet in the session's folder, and read it from there.
 
     For results that several jobs use. It survives lost executors, later jobs read only the
-    columns they need, and its size is known to the optimizer.
+    columns they need, and its size is known to the optimizer. The tables stay until
+    ``drop_intermediates`` or until the folder is removed.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Remove the session's intermediate tables; results not yet computed from them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,6 +8,8 @@ from ..functions.columns import number_text, stars
 from ..operators.joins import skew_join
 from ..operators.results import EXTREME_PREFIXES, SPI_PREFIXES, TEMP_PREFIXES, confidence_bounds, with_term_parts
 
+# Forms of a sample size, tried in this order.
+SIZE_PATTERNS = (r"(\d+,\d+,\d+)", r"(\d+,\d+)", r"(\d+)")
 KEYWORDS = "drought|excessiverain|t_|std_t|stdm_t|spi"
 
 
@@ -76,7 +78,7 @@ def sample_sizes(lines: DataFrame) -> DataFrame:
     rows = lines.filter(F.col("text").rlike(r"\$N\$\s*&"))
     first = rows.groupBy("file").agg(F.min(F.struct("line_no", "text")).alias("r"))
     text = F.col("r.text")
-    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (r"(\d+,\d+,\d+)", r"(\d+,\d+)", r"(\d+)")]
+    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in SIZE_PATTERNS]
     return first.select("file", F.regexp_replace(F.coalesce(*found), ",", "").cast("long").alias("n"))
 
 
