@@ -151,12 +151,12 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             if (c := counts(text)) is not None:
                 hit = np.flatnonzero(c)
                 lang.append(name)
-                at.append(hit.astype(np.int32))
-                value.append((c[hit] / c.sum()).astype(np.float32))
-        return {"lang": pa.array(lang, pa.string()), "at": pa.array(at, pa.list_(pa.int32())), "share": pa.array(value, pa.list_(pa.float32()))}
+                at.append(hit.astype(np.uint16).tobytes())
+                value.append((c[hit] / c.sum()).astype(np.float32).tobytes())
+        return {"lang": pa.array(lang, pa.string()), "at": pa.array(at, pa.binary()), "share": pa.array(value, pa.binary())}
 
-    found = arrow_map(drawn, shares, "lang string, at array<int>, share array<float>").limit(2 * sample_rows)
-    rows = [(r["lang"], np.array(r["at"]), np.array(r["share"], np.float32)) for r in found.toLocalIterator()]
+    found = arrow_map(drawn, shares, "lang string, at binary, share binary").limit(2 * sample_rows)
+    rows = [(r["lang"], np.frombuffer(r["at"], np.uint16), np.frombuffer(r["share"], np.float32)) for r in found.toLocalIterator()]
     return fit(sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
 
 
