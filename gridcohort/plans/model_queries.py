@@ -627,17 +627,17 @@ def _interpolated(value: str) -> str:
 )
 def attribution_totals(spark, d):
     """Zone effects of the reports times the signed anomalies and the births of each cell."""
-    grid = signed_means(anomaly_grid(spark, d), "stdm_t", (6, 9), ["cell"])
+    grid = materialize(signed_means(anomaly_grid(spark, d), "stdm_t", (6, 9), ["cell"]))
     zones = grid.select("cell").distinct().withColumn("zone", _zone("cell"))
-    ratio = birth_ratio(_indicators(spark, d), buckets=RATIO_YEARS).withColumn("born_ratio", F.col("born_ratio"))
+    ratio = materialize(birth_ratio(_indicators(spark, d), buckets=RATIO_YEARS))
     cells = ratio.select("LocationId", F.col("LocationId").cast("double").alias("lat"), F.lit(0.0).alias("lon")).distinct()
     counts = ratio.select(
         F.col("LocationId").cast("double").alias("lat"), F.lit(0.0).alias("lon"), F.col("bucket").alias("year"),
         (1000.0 * (F.col("LocationId") % 7)).alias("total_population"),
     )
-    known = country_values_on_grid(counts, cells, ratio).select(
+    known = materialize(country_values_on_grid(counts, cells, ratio).select(
         F.col("lat").cast("long").alias("cell"), F.make_date("year", F.lit(1), F.lit(1)).alias("month"), "total_population", "born_ratio"
-    )
+    ))
     span = ("1995-01-01", "2001-12-01")
     people = gap_fill_linear(known, ["cell"], "total_population", *span)
     born = gap_fill_linear(known, ["cell"], "born_ratio", *span)
