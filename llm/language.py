@@ -11,18 +11,21 @@ document is rejected.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from llm.common import arrow_map
+from llm.common import arrow_map, store
 
 BUCKETS = 1 << 14
 SIZES = (1, 2, 3, 4)
 DIM = 16
 #: Labelled rows that training reads, over all languages.
 SAMPLE_ROWS = 4000
+#: Files of the sample.
+PIECES = 16
 EPOCHS, BATCH, RATE = 4, 32, 2.0
 #: Share of right answers on unseen rows that rejection may lose, and the highest score it may ask for.
 LOST, HIGHEST = 0.001, 0.5
@@ -155,8 +158,10 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
                 value.append((c[hit] / c.sum()).astype(np.float32).tobytes())
         return {"lang": pa.array(lang, pa.string()), "at": pa.array(at, pa.binary()), "share": pa.array(value, pa.binary())}
 
-    found = arrow_map(drawn, shares, "lang string, at binary, share binary").limit(2 * sample_rows)
-    rows = [(r["lang"], np.frombuffer(r["at"], np.uint16), np.frombuffer(r["share"], np.float32)) for r in found.toLocalIterator()]
+    # written by many tasks, then read in small pieces, of which the driver holds one at a time
+    found = store(arrow_map(drawn, shares, "lang string, at binary, share binary").repartition(PIECES), "sample")
+    read = islice(found.toLocalIterator(), 2 * sample_rows)
+    rows = [(r["lang"], np.frombuffer(r["at"], np.uint16), np.frombuffer(r["share"], np.float32)) for r in read]
     return fit(sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
 
 
