@@ -3,8 +3,12 @@
 Pages are read as a tree of elements. Elements that are by their tag, role or class no part of an
 article (menus, footers, forms, adverts, notices, reader comments and so on) are dropped. For the
 rest, each element subtree outside the article, and each container inside it, has a hash of its
-tags, classes and text. Spark counts for each host on how many pages a hash occurs; subtrees that
-recur on many pages of their host are the site's template and are deleted.
+tags, classes and text. Spark counts for each host on how many distinct page contents a hash occurs;
+subtrees that recur on many of their host are the site's template and are deleted. A page's content
+is the text before anything is deleted, so copies of one article or page count once.
+
+Never a template is an element that encloses an article or main element, all text of the page, or
+its main block: more than half of the text and at least MAIN_CHARS characters.
 
 Paragraphs of an article are never deleted for recurring: a copied article is still an article. A
 page with an article whose text holds no container needs no decision, so it is finished where it
@@ -23,10 +27,12 @@ from pyspark.sql import DataFrame, functions as F
 from llm.cascade import host_of
 from llm.common import arrow_map, store, with_row_ids
 
-#: A subtree outside articles recurs if it is on so many pages and such a share of its host's pages.
+#: A subtree outside articles recurs if it is on so many distinct pages and such a share of its host's.
 LEAST_PAGES, SHARE = 3, 0.1
 #: The share for containers inside an article.
 SHARE_INSIDE = 0.5
+#: Characters of a page's main block.
+MAIN_CHARS = 200
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe svg math textarea title object canvas audio video select".split())
@@ -82,8 +88,10 @@ class Page:
         self._text: list[str] = []
         self._stack: list[_Node] = []
         self._numbers: list[int] = []
+        self._levels: dict[int, int] = {}
         self._count = 0
         self._read(source or "")
+        self._spare()
 
     def _flush(self) -> None:
         """End the block. Its text is never from a dropped element, though one may be open."""
@@ -110,6 +118,7 @@ class Page:
         if node.container:
             value = int.from_bytes(node.digest.digest(), "big", signed=True)
             self.hashes[number] = (value, node.level > 0)
+            self._levels[number] = node.level
             for n in self._stack:
                 if n.container:
                     n.digest.update(node.digest.digest())
@@ -186,6 +195,22 @@ class Page:
         while self._stack:
             self._close()
 
+    def _spare(self) -> None:
+        """Drop the hashes of elements that enclose an article, main or the page's main block."""
+        best, total, held = self.best(), 0, dict.fromkeys(self.hashes, 0)
+        for text, level, above in self.blocks:
+            for n in above:
+                if n in self.hashes and level > self._levels[n]:
+                    del self.hashes[n]
+            if level == best:
+                total += len(text)
+                for n in above:
+                    if n in held:
+                        held[n] += len(text)
+        for n, size in held.items():
+            if n in self.hashes and total and (size == total or (2 * size > total and size >= MAIN_CHARS)):
+                del self.hashes[n]
+
     def best(self) -> int:
         """The level that the main text is taken from."""
         return max((level for _, level, _ in self.blocks), default=0)
@@ -202,26 +227,28 @@ class Page:
 
 
 def subtrees(rows: DataFrame) -> DataFrame:
-    """rid, host, hash, inside, open: the distinct element subtrees of each page."""
+    """rid, host, content, hash, inside, open: the distinct element subtrees of each page, and a row of hash null."""
 
     def hashes(batch: dict) -> dict:
-        out: dict[str, list] = {"rid": [], "host": [], "hash": [], "inside": [], "open": []}
+        out: dict[str, list] = {"rid": [], "host": [], "content": [], "hash": [], "inside": [], "open": []}
         for rid, host, source in zip(batch["rid"], batch["host"], batch["html"]):
             page = Page(source)
             is_open = page.open()
-            for value, inside in set(page.hashes.values()):
-                for name, x in zip(out, (rid, host, value, inside, is_open)):
+            content = int.from_bytes(hashlib.blake2b(page.text().encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+            for value, inside in {(None, False), *page.hashes.values()}:
+                for name, x in zip(out, (rid, host, content, value, inside, is_open)):
                     out[name].append(x)
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.bool_())
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
         return {name: pa.array(v, kind) for (name, v), kind in zip(out.items(), kinds)}
 
-    return arrow_map(rows, hashes, "rid long, host string, hash long, inside boolean, open boolean")
+    return arrow_map(rows, hashes, "rid long, host string, content long, hash long, inside boolean, open boolean")
 
 
-def recurring_subtrees(found: DataFrame, rows: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, share_inside: float = SHARE_INSIDE) -> DataFrame:
-    """(host, hash) of the subtrees that recur on many pages of a host."""
-    seen = found.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside")).filter(F.col("n") >= least)
-    pages = rows.groupBy("host").agg(F.count("*").alias("pages"))
+def recurring_subtrees(found: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, share_inside: float = SHARE_INSIDE) -> DataFrame:
+    """(host, hash) of the subtrees that recur on many distinct page contents of a host."""
+    each = found.groupBy("host", "hash", "content").agg(F.max("inside").alias("inside"))
+    seen = each.filter("hash is not null").groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside")).filter(F.col("n") >= least)
+    pages = each.filter("hash is null").groupBy("host").agg(F.count("*").alias("pages"))
     needed = F.ceil(F.col("pages") * F.when(F.col("inside"), share_inside).otherwise(share))
     return seen.join(pages, "host").filter(F.col("n") >= needed).select("host", "hash")
 
@@ -230,7 +257,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """rid, page_id, url, text, n_chars of every row of `pages`.
 
     Null and empty pages have the empty text; pages with a null URL share the empty host. Repeated
-    rows count as pages. Only page_id, url and html are read.
+    rows have a text each. Only page_id, url and html are read.
     """
     rows = with_row_ids(pages, "page_id", "url", "html", host_of().alias("host"))
 
@@ -245,7 +272,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     done = arrow_map(rows, read, columns + ", open boolean")
     found = store(subtrees(rows), "subtrees")
     asked = found.filter("open")
-    marked = asked.join(recurring_subtrees(found, rows), ["host", "hash"], "left_semi").groupBy("rid").agg(F.collect_set("hash").alias("recurring"))
+    marked = asked.join(recurring_subtrees(found), ["host", "hash"], "left_semi").groupBy("rid").agg(F.collect_set("hash").alias("recurring"))
     undecided = asked.select("rid").distinct()
     again = rows.join(undecided, "rid").join(marked, "rid", "left")
     return done.filter("not open").drop("open").unionByName(arrow_map(again, decide, columns))

@@ -51,3 +51,23 @@ def test_templates_of_a_host(spark):
     assert out[21] == out[22] == "" and out[23] == "Shop of the year"
     assert all(out[30 + i] == f"copy\n{i}" for i in range(4))
     assert main_text(df.filter("page_id < 0")).count() == 0
+
+
+def test_copied_articles_and_bodies_stay(spark):
+    article = "<p>" + "A copied sentence of the article. " * 10 + "</p>"
+    shell = "<html><body><div class='menu-bar x'><p>Menu of the shop</p></div><div id='wrap'>{}</div><div><p>Legal lines</p></div></body></html>"
+    in_article = shell.format(f"<article><h1>Head</h1><div class='entry'>{article}</div></article>")
+    in_main = shell.format(f"<main><div class='entry'>{article}</div></main>")
+    text = " ".join(("A copied sentence of the article. " * 10).split())
+    rows = [(i, "http://all.example/x", in_article) for i in range(5)]
+    rows += [(10 + i, "http://third.example/x", in_article) for i in range(4)]
+    rows += [(20 + i, "http://third.example/x", shell.format(f"<article><p>own {i}</p></article>")) for i in range(8)]
+    rows += [(30 + i, "http://main.example/x", in_main) for i in range(4)]
+    rows += [(40 + i, "http://bare.example/x", f"<html><body><div><div class='b'>{article}</div><p>{'visit ' * (i % 2)}{i}</p></div></body></html>") for i in range(6)]
+    rows += [(50 + i, "http://same.example/x", "<html><body><div><p>short</p></div><div><p>body</p></div></body></html>") for i in range(6)]
+    out = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Head\n{text}" for i in (*range(5), *range(10, 14)))
+    assert all(out[20 + i] == f"own {i}" for i in range(8))
+    assert all(out[30 + i] == text for i in range(4))
+    assert all(out[40 + i].startswith(text) for i in range(6))
+    assert all(out[50 + i] == "short\nbody" for i in range(6))
