@@ -42,22 +42,58 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_scan(df: DataFrame) -> bool:
-    """Whether the rows come straight from files, in the same partitions and order at each read."""
+def _place(df: DataFrame) -> tuple[Column, Column]:
+    """The path of a row's file, and the row's place in it."""
+    at = df.metadataColumn("_metadata")
+    return at["file_path"], at["row_index"]
+
+
+def _files(df: DataFrame) -> list[str] | None:
+    """The paths of the Parquet files whose rows, once each and nothing else, are those of `df`, in order; else None."""
     text = io.StringIO()
     with contextlib.redirect_stdout(text):
-        df.explain()
-    plan = text.getvalue()
-    return "FileScan" in plan and "Exchange" not in plan
+        df.explain(True)
+    analyzed = text.getvalue().partition("== Analyzed Logical Plan ==")[2].partition("== Optimized Logical Plan ==")[0]
+    plan = analyzed.strip().split("\n")[1:]
+    if len(plan) != 1 or not (plan[0].startswith("Relation [") and plan[0].endswith("] parquet")):
+        return None
+    file, row = _place(df)
+    found = df.select(file.alias("file"), row.alias("row")).groupBy("file").agg(F.count("*").alias("n"), F.max("row").alias("last")).collect()
+    return sorted(r.file for r in found) if all(r.n == r.last + 1 for r in found) else None
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether each row is the row of a Parquet file, so that its file and place in it name it."""
+    return _files(df) is not None
 
 
 def with_row_ids(df: DataFrame, *cols: str | Column, name: str = "rid") -> DataFrame:
     """Chosen columns and `name`, a number of the row that is the same at each evaluation.
 
-    Rows of a file scan are numbered as they are; any other input is stored first.
+    It is made of the number of the row's file, in the order of the paths, and the row's place in the
+    file, so it does not depend on how a scan is split. Input that is not read from Parquet files as
+    it is gets stored first.
     """
-    df = df if is_scan(df) else store(df, "numbered")
-    return df.select(*cols, F.monotonically_increasing_id().alias(name))
+    paths = _files(df)
+    if paths is None:
+        df = store(df, "numbered")
+        paths = _files(df)
+    path, row = _place(df)
+    rows = df.select(*cols, row.alias(name), path.alias("_file"))
+    file, number = (_unused(n, rows.columns[:-1]) for n in ("_file", "_file_number"))
+    rows = df.select(*cols, row.alias(name), path.alias(file))
+    files = df.sparkSession.createDataFrame(list(enumerate(paths)), f"{number} long, {file} string")
+    return rows.join(F.broadcast(files), file).withColumn(name, F.shiftleft(F.col(number), FILE_ROWS).bitwiseOR(F.col(name))).drop(file, number)
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
+#: Bits for a row's place in its file.
+FILE_ROWS = 40
 
 
 def arrow_map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
@@ -83,7 +119,5 @@ def id_order(doc_id: str = "doc_id") -> Column:
 
 def rows_of(df: DataFrame, rids: DataFrame) -> DataFrame:
     """The rows of `df`, all columns, whose row ids (`with_row_ids`) are in the column `rid`."""
-    name = "_row_id"
-    while name in df.columns:
-        name += "_"
+    name = _unused("_row_id", df.columns)
     return with_row_ids(df, *df.columns, name=name).join(rids.select(F.col("rid").alias(name)), name, "left_semi").drop(name)
