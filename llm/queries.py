@@ -15,6 +15,7 @@ from llm.language import identify, remainder
 from llm.lines import drop_repeated_lines
 from llm.markup import main_text
 from llm.parsing import drop_earlier_passages
+from llm.periods import collapse_runs, planted_order, run_digests
 from llm.simhash import simhash_components
 from llm.suffixes import drop_repeated_bytes
 
@@ -126,3 +127,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs.select("doc_id", "text", "lang"))
     return found.select("doc_id", (remainder() == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query()
+def op11_dyadic_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return run_digests(collapse_runs(docs, order=planted_order))
