@@ -33,4 +33,4 @@ def test_rows(spark, sf, name):
 
 
 def test_every_query_is_tested():
-    assert set(QUERIES) == set(COLUMNS) | set(ORACLES) and len(QUERIES) == 11
+    assert set(QUERIES) == set(COLUMNS) | set(ORACLES) and len(QUERIES) == 12
