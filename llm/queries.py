@@ -15,6 +15,7 @@ from llm.exact import exact_dedup
 from llm.language import identify, remainder
 from llm.lines import drop_repeated_lines
 from llm.markup import main_text
+from llm.orders import similar_sets
 from llm.parsing import drop_earlier_passages
 from llm.periods import collapse_runs, planted_order, run_digests
 from llm.simhash import simhash_components
@@ -188,3 +189,8 @@ FROM found
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return interactions(failures(docs), labels)
+
+
+@query()
+def op13_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(spark.read.parquet(f"{sf_dir}/documents.parquet"))

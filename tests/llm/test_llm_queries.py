@@ -15,6 +15,7 @@ COLUMNS = {
     "op9_edit_decontamination": ["doc_id", "contaminated", "n_items", "item_ids", "distances"],
     "op10_language_id": ["doc_id", "held_out", "lang_pred", "score", "rejected"],
     "op11_dyadic_squares": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256", "n_words"],
+    "op13_order_join": ["doc_id", "n_shingles", "component_id"],
 }
 
 
@@ -33,4 +34,4 @@ def test_rows(spark, sf, name):
 
 
 def test_every_query_is_tested():
-    assert set(QUERIES) == set(COLUMNS) | set(ORACLES) and len(QUERIES) == 12
+    assert set(QUERIES) == set(COLUMNS) | set(ORACLES) and len(QUERIES) == 13
