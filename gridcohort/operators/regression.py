@@ -11,25 +11,21 @@ neither residuals nor demeaned rows are ever written.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..session import materialize
-from .joins import hot_parts
+from .stacked import HEAD, MOST, Model, packed as _packed, stacked_cells
 
 # Up to this many variables the cross-products are one built-in aggregation.
 NATIVE_LIMIT = 10
-HEAD = 5  # rows, effects, cells, sum of y, sum of y²
 _ALL = "_all"
 
 
-def _packed(m: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(m)
-
-
 def _unpack(values: np.ndarray, m: int) -> np.ndarray:
     full = np.zeros((m, m))
     i, j = _packed(m)
@@ -38,34 +34,6 @@ def _unpack(values: np.ndarray, m: int) -> np.ndarray:
     return full
 
 
-def _runs(frame: pd.DataFrame) -> list[tuple[int, int]]:
-    """Start and end of each run of equal key rows."""
-    if frame.empty:
-        return []
-    changed = (frame != frame.shift()).any(axis=1).to_numpy()
-    changed[0] = True
-    starts = np.flatnonzero(changed)
-    return list(zip(starts, [*starts[1:], len(frame)]))
-
-
-def _sum_runs(batches: Iterator[pd.DataFrame], keys: list[str], of) -> Iterator[tuple[tuple, np.ndarray]]:
-    """Total of ``of(rows)`` per run of equal keys, runs continuing across batches."""
-    current, total = None, None
-    for batch in batches:
-        for a, b in _runs(batch[keys]):
-            part = batch.iloc[a:b]
-            key = tuple(part[keys].iloc[0])
-            value = of(part)
-            if key == current:
-                total = total + value
-            else:
-                if current is not None:
-                    yield current, total
-                current, total = key, value
-    if current is not None:
-        yield current, total
-
-
 def _frames(rows: Iterator[tuple], columns: list[str], size: int = 256) -> Iterator[pd.DataFrame]:
     buffer = []
     for row in rows:
@@ -106,97 +74,6 @@ def _native_cells(base: DataFrame, group: list[str], names: list[str], drop_sing
     return totals.select(*group, "_cell", F.array(*head, *[F.col(f"g{k}") for k in range(len(pairs))]).alias("stats"))
 
 
-def _wide_cells(
-    base: DataFrame, keys: list[str], names: list[str], ys: list[str], used: list[list[bool]], drop_singletons: bool
-) -> DataFrame:
-    """Stats per (keys, _step, _cell) for many variables: cross-products of Arrow batches, cell by cell.
-
-    ``base`` has one row per record with the last step whose sample it is in (``_last``); the
-    samples are nested, so a row counts for steps 0.._last and is never repeated. A step uses the
-    variables marked in ``used`` and its own y; the others are zero there. A cell's centred matrix
-    is the sum of row products minus the products of its monthly sums over their counts. Rows
-    of a hot cell are spread over several tasks, and the partial matrices add up afterwards.
-    """
-    zs = [*names, *ys]
-    p = len(names)
-    packed = _packed(p + 1)
-    # Any shift gives the same centred products; one near the values keeps the digits.
-    means = base.agg(*[F.avg(c).alias(c) for c in zs]).first()
-    shifted = {c: F.coalesce(F.col(c) - F.lit(means[c] or 0.0), F.lit(0.0)) for c in zs}
-    cell = [*keys, "_cell"]
-    centred = base.select(*cell, "_month", "_last", *[e.alias(c) for c, e in shifted.items()])
-
-    sums = centred.groupBy(*cell, "_month", "_last").agg(
-        F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in zs], *[F.sum(F.col(y) * F.col(y)).alias(f"_sq{y}") for y in ys]
-    )
-    of_step = lambda form: F.coalesce(*[F.when(F.col("_step") == s, F.col(form.format(y))) for s, y in enumerate(ys)])
-    monthly = (
-        sums.withColumn("_step", F.explode(F.array(*[F.when(F.col("_last") >= s, s) for s in range(len(ys))])))
-        .filter("_step IS NOT NULL")
-        .withColumns({"_y": of_step("{}"), "_syy": of_step("_sq{}")})
-        .groupBy(*cell, "_month", "_step")
-        .agg(*[F.sum(c).alias(c) for c in ("_n", *names, "_y", "_syy")])
-    )
-    if drop_singletons:
-        # A record alone in its month adds as much as is taken away again, so it only leaves the counts.
-        alone = F.col("_n") == 1
-        monthly = monthly.withColumn("_one", F.when(alone, 0.0).otherwise(1.0))
-    else:
-        monthly = monthly.withColumn("_one", F.lit(1.0))
-
-    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = hot_parts(base, cell)
-
-    def spread(df: DataFrame, last: str, by: list[str]) -> DataFrame:
-        known = df.join(hot, cell, "left")
-        part = F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1)))
-        return known.withColumn("_part", part).drop("_parts").repartition(tasks, *cell, "_part").sortWithinPartitions(*cell, last)
-
-    def of_used(gram: np.ndarray, step: int) -> np.ndarray:
-        keep = np.array([*used[step], True])
-        return np.where(np.outer(keep, keep), gram, 0.0)[packed]
-
-    def products(block: pd.DataFrame) -> np.ndarray:
-        v = block[zs].to_numpy("float64")
-        return v.T @ v
-
-    def by_rows(batches):
-        def rows():
-            for key, gram in _sum_runs(batches, [*cell, "_last"], products):
-                for step in range(int(key[-1]) + 1):
-                    at = [*range(p), p + step]
-                    yield (*key[:-2], step, key[-2], np.concatenate([np.zeros(HEAD), of_used(gram[np.ix_(at, at)], step)]))
-
-        yield from _frames(rows(), [*keys, "_step", "_cell", "stats"])
-
-    def by_months(batches):
-        def totals(block: pd.DataFrame) -> np.ndarray:
-            v = block[[*names, "_y"]].to_numpy("float64")
-            n, one = block["_n"].to_numpy("float64"), block["_one"].to_numpy("float64")
-            head = [(n * one).sum(), one.sum(), 0.0, (v[:, -1] * one).sum(), (block["_syy"] * one).sum()]
-            return np.concatenate([head, (-(v / n[:, None]).T @ v).ravel()])
-
-        def rows():
-            for key, total in _sum_runs(batches, [*cell, "_step"], totals):
-                gram = of_used(total[HEAD:].reshape(p + 1, p + 1), int(key[-1]))
-                yield (*key[:-2], int(key[-1]), key[-2], np.concatenate([total[:HEAD], gram]))
-
-        yield from _frames(rows(), [*keys, "_step", "_cell", "stats"])
-
-    fields = {f.name: f for f in base.schema}
-    schema = StructType(
-        [
-            *[StructField(k, fields[k].dataType) for k in keys],
-            StructField("_step", IntegerType()),
-            StructField("_cell", fields["_cell"].dataType),
-            StructField("stats", ArrayType(DoubleType())),
-        ]
-    )
-    raw = spread(centred.drop("_month"), "_last", zs).mapInPandas(by_rows, schema)
-    less = spread(monthly, "_step", ["_month"]).mapInPandas(by_months, schema)
-    return raw.unionByName(less).repartition(*keys, "_step", "_cell").sortWithinPartitions(*keys, "_step", "_cell")
-
-
 def _sweep(gram: np.ndarray, first: int) -> np.ndarray:
     """Remove the first variables (years, so in whole units) from all others, if they vary."""
     size = gram.diagonal()[:first].copy()
@@ -272,18 +149,32 @@ def _trends(year: str, trend: str) -> list[Column]:
     return {"none": [], "linear": [since], "quadratic": [since, since * since]}[trend]
 
 
-def _estimate(cells: DataFrame, keys: list[str], xs: list[str], p: int, correction: bool) -> DataFrame:
-    """Coefficients per key from stats per (key, _cell), the first ``p`` variables being trends."""
-    k = len(xs)
-    m = k + p + 1
-    inner = _packed(k + 1)
+def _order(values: int) -> int:
+    """Variables of a packed matrix with this many entries after the HEAD."""
+    return int(((8 * (values - HEAD) + 1) ** 0.5 - 1) / 2 + 0.5)
+
+
+def _status(beta: float, n: float, used: int, clusters: float) -> str:
+    if np.isnan(beta):
+        return "collinear"
+    if clusters < 2:
+        return "one cluster"
+    return "ok" if n > used else "no degrees of freedom"
+
 
+def _estimate(cells: DataFrame, keys: list[str], terms: Sequence[Sequence[str]], p: int, correction: bool) -> DataFrame:
+    """Coefficients per key from stats per (key, _cell), the first ``p`` variables being trends.
+
+    ``terms`` has the regressors of each model; with several, the key ``_model`` says which.
+    """
     def swept(batches):
         def rows():
-            for key, stats in _sum_runs(batches, [*keys, "_cell"], lambda b: np.sum(np.stack(b["stats"]), axis=0)):
-                if stats[0] > 0:
-                    stats[2] = 1.0
-                    yield (*key[:-1], np.concatenate([stats[:HEAD], _sweep(_unpack(stats[HEAD:], m), p)[inner]]))
+            for batch in batches:
+                for *key, _, stats in batch[[*keys, "_cell", "stats"]].itertuples(index=False):
+                    stats = np.asarray(stats, "float64")
+                    if stats[0] > 0:
+                        left = _sweep(_unpack(stats[HEAD:], _order(len(stats))), p)
+                        yield (*key, np.concatenate([stats[:HEAD], left[_packed(len(left))]]))
 
         yield from _frames(rows(), [*keys, "stats"])
 
@@ -296,7 +187,7 @@ def _estimate(cells: DataFrame, keys: list[str], xs: list[str], p: int, correcti
             out = []
             for row in batch.itertuples(index=False):
                 stats = np.asarray(row[-1])
-                beta, inverse, rss, tss = _solve(stats, k)
+                beta, inverse, rss, tss = _solve(stats, _order(len(stats)) - 1)
                 fit = [stats[0], stats[1], stats[2], 1 - rss / tss if tss else np.nan]
                 out.append((*row[:-1], beta, inverse.ravel(), fit))
             yield pd.DataFrame(out, columns=[*keys, "beta", "inverse", "fit"])
@@ -317,8 +208,9 @@ def _estimate(cells: DataFrame, keys: list[str], xs: list[str], p: int, correcti
 
         for batch in batches:
             for row in batch.itertuples(index=False):
-                gram = _unpack(np.asarray(row[-2])[HEAD:], k + 1)
                 beta = np.nan_to_num(np.asarray(row[-1], "float64"))
+                k = len(beta)
+                gram = _unpack(np.asarray(row[-2])[HEAD:], k + 1)
                 score = gram[:k, k] - gram[:k, :k] @ beta
                 total = totals.setdefault(row[:-2], np.zeros(k * k))
                 total += np.outer(score, score).ravel()
@@ -328,6 +220,7 @@ def _estimate(cells: DataFrame, keys: list[str], xs: list[str], p: int, correcti
             yield flush()
 
     meat = vector_sums(scored.mapInPandas(meats, _schema(cells, keys, "meat")), keys, "meat")
+    model_at = keys.index("_model") if "_model" in keys else None
 
     def finished(batches):
         for batch in batches:
@@ -335,6 +228,7 @@ def _estimate(cells: DataFrame, keys: list[str], xs: list[str], p: int, correcti
             for row in batch.itertuples(index=False):
                 *key, beta, inverse, fit, middle = row
                 beta = np.asarray(beta, "float64")
+                k = len(beta)
                 inv = np.asarray(inverse).reshape(k, k)
                 n, _, clusters, r2 = fit
                 used = int(np.isfinite(beta).sum())
@@ -344,12 +238,14 @@ def _estimate(cells: DataFrame, keys: list[str], xs: list[str], p: int, correcti
                     factor = clusters / (clusters - 1) * (n - 1) / (n - used) if ok else np.nan
                 v = factor * inv @ np.asarray(middle).reshape(k, k) @ inv
                 se = np.where(np.isfinite(beta), np.sqrt(np.maximum(v.diagonal(), 0)), np.nan)
+                names = terms[0 if model_at is None else int(key[model_at])]
                 for i in range(k):
-                    out.append((*key, i, [beta[i], se[i], n, r2, clusters]))
-            yield pd.DataFrame(out, columns=[*keys, "_i", "_v"])
+                    out.append((*key, names[i], used, _status(beta[i], n, used, clusters), [beta[i], se[i], n, r2, clusters]))
+            yield pd.DataFrame(out, columns=[*keys, "term", "rank", "status", "_v"])
 
     schema = _schema(cells, keys)
-    schema = StructType([*schema.fields, StructField("_i", IntegerType()), StructField("_v", ArrayType(DoubleType()))])
+    added = (("term", StringType()), ("rank", IntegerType()), ("status", StringType()), ("_v", ArrayType(DoubleType())))
+    schema = StructType([*schema.fields, *(StructField(n, t) for n, t in added)])
     rows = fits.join(meat, keys).select(*keys, "beta", "inverse", "fit", "meat").mapInPandas(finished, schema)
 
     def at(i: int):
@@ -358,13 +254,15 @@ def _estimate(cells: DataFrame, keys: list[str], xs: list[str], p: int, correcti
     coef, se = at(0), at(1)
     return rows.select(
         *keys,
-        F.array(*[F.lit(x) for x in xs])[F.col("_i")].alias("term"),
+        "term",
         coef.alias("coef"),
         se.alias("se"),
         F.when(se > 0, coef / se).alias("t"),
         F.col("_v")[2].cast("long").alias("n"),
         at(3).alias("r2"),
         F.col("_v")[4].cast("long").alias("n_clusters"),
+        "rank",
+        "status",
     )
 
 
@@ -381,18 +279,23 @@ def fe_ols(
     correction: bool = True,
     native_limit: int = NATIVE_LIMIT,
 ) -> DataFrame:
-    """Coefficients (group…, term, coef, se, t, n, r2, n_clusters), one row per regressor.
+    """Coefficients (group…, term, coef, se, t, n, r2, n_clusters, rank, status), one row per regressor.
 
     ``trend``: ``linear`` or ``quadratic`` per cell, or ``none``. ``group`` runs one model per
     combination of group values, all in the same job. Rows with a null in a used column leave.
     A collinear regressor keeps its row with a null coefficient. ``correction`` applies
-    G/(G-1) · (N-1)/(N-K) to the clustered variance.
+    G/(G-1) · (N-1)/(N-K) to the clustered variance. ``rank`` counts the regressors that stay;
+    ``status`` says why a number is null: ``collinear``, ``one cluster`` or ``no degrees of freedom``.
     """
     xs = list(dict.fromkeys(xs))
     trends = _trends(year, trend)
     given = list(group or [])
     keys = given or [_ALL]
     names = [*[f"_t{i}" for i in range(len(trends))], *xs]
+    if len(names) >= native_limit:
+        one = Model(y, tuple(xs), None, ((1, cell),))
+        cells = stacked_cells(df, [one], trends, month, year, given, drop_singletons).withColumn(_ALL, F.lit(0))
+        return _estimate(cells, keys, [xs], len(trends), correction).drop(_ALL)
     kept = df
     for c in dict.fromkeys([*given, cell, month, year, *xs, y]):
         kept = kept.filter(F.col(c).isNotNull())
@@ -405,19 +308,13 @@ def fe_ols(
         *_doubles(df, xs),
         F.col(y).cast("double").alias("_y"),
     )
-    if len(names) < native_limit:
-        cells = _native_cells(base, keys, [*names, "_y"], drop_singletons)
-    else:
-        one = base.withColumn("_last", F.lit(0))
-        cells = _wide_cells(one, keys, names, ["_y"], [[True] * len(names)], drop_singletons).drop("_step")
-    return _estimate(cells, keys, xs, len(trends), correction).drop(_ALL)
+    cells = _native_cells(base, keys, [*names, "_y"], drop_singletons)
+    return _estimate(cells, keys, [xs], len(trends), correction).drop(_ALL)
 
 
-def fe_steps(
+def fe_models(
     df: DataFrame,
-    steps: Sequence[tuple[str, Sequence[str]]],
-    samples: Sequence[Column],
-    cells: Sequence[str],
+    models: Sequence[Model],
     month: str,
     year: str,
     trend: str = "linear",
@@ -425,43 +322,13 @@ def fe_steps(
     drop_singletons: bool = False,
     correction: bool = True,
 ) -> DataFrame:
-    """Several models over nested samples, each at several cell levels, in one pass:
-    coefficients (group…, cell_level, step, term, …).
-
-    Step s regresses ``steps[s] = (y, xs)`` on the rows for which ``samples[0..s]`` all hold and
-    the columns of steps 0..s are known; each step has at least the regressors of the one before.
-    """
-    trends = _trends(year, trend)
-    given = list(group or [])
-    keys = [*given, "cell_level"]
-    xs = list(dict.fromkeys(x for _, some in steps for x in some))
-    names = [*[f"_t{i}" for i in range(len(trends))], *xs]
-    ys = [f"_y{s}" for s in range(len(steps))]
-    # Conditions of step 0 filter the rows, one plain condition per column: a single condition over
-    # many renamed columns makes the optimizer enumerate all combinations of the names.
-    kept = df.filter(samples[0])
-    for c in dict.fromkeys([*given, month, year, steps[0][0], *steps[0][1]]):
-        kept = kept.filter(F.col(c).isNotNull())
-    last, seen = F.when(F.lit(False), -1), set(steps[0][1])
-    for s, ((y, some), sample) in enumerate(zip(steps[1:], samples[1:]), start=1):
-        new = [y, *[x for x in some if x not in seen]]
-        gaps = sum((F.col(c).isNull().cast("int") for c in new[1:]), F.col(new[0]).isNull().cast("int"))
-        last = last.when(~F.coalesce(sample, F.lit(False)) | (gaps > 0), s - 1)
-        seen |= set(some)
-    levels = [F.struct(F.lit(i).alias("cell_level"), F.col(c).cast("string").alias("_cell")) for i, c in enumerate(cells, 1)]
-    # Everything is computed before the rows are repeated per cell level.
-    rows = kept.select(
-        *given,
-        F.col(month).alias("_month"),
-        *[t.alias(n) for t, n in zip(trends, names)],
-        *_doubles(df, xs),
-        *[F.col(y).cast("double").alias(n) for (y, _), n in zip(steps, ys)],
-        last.otherwise(len(steps) - 1).alias("_last"),
-        F.array(*levels).alias("_at"),
-    )
-    base = rows.withColumn("_at", F.explode("_at")).select("*", "_at.*").drop("_at").filter("_cell IS NOT NULL")
-    used = [[True] * len(trends) + [x in set(some) for x in xs] for _, some in steps]
-    stats = _wide_cells(base, keys, names, ys, used, drop_singletons)
-    entry = F.create_map(*[F.lit(v) for x in xs for v in (x, min(s for s, (_, some) in enumerate(steps) if x in some))])
-    found = _estimate(stats, [*keys, "_step"], xs, len(trends), correction).filter(entry[F.col("term")] <= F.col("_step"))
-    return found.withColumnRenamed("_step", "step")
+    """Many models over one reading of the records: (group…, model, cell_level, term, coef, …), where
+    ``model`` is the place in the list. A model without rows in a group has no rows here."""
+    trends, given = _trends(year, trend), list(group or [])
+    out = []
+    for first in range(0, len(models), MOST):
+        some = models[first : first + MOST]
+        cells = stacked_cells(df, some, trends, month, year, given, drop_singletons)
+        found = _estimate(cells, [*given, "_model", "cell_level"], [m.xs for m in some], len(trends), correction)
+        out.append(found.withColumn("_model", F.col("_model") + first).withColumnRenamed("_model", "model"))
+    return reduce(DataFrame.unionByName, out)

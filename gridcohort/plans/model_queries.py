@@ -152,6 +152,63 @@ def model_grid(spark, d):
     return run_specs(df, specs)
 
 
+ONE_PERIOD = dict(periods=("born_1m6m",), drought=None, controls=())
+SHARED = {
+    "linear": {f"{P1}_neg_int": f"CASE WHEN {P1} < 0 THEN {P1} ELSE 0 END", f"{P1}_pos_int": f"CASE WHEN {P1} > 0 THEN {P1} ELSE 0 END"},
+    "quadratic": {P1: P1, f"{P1}_sq": f"{P1} * {P1}"},
+    "spline": {
+        f"{P1}_q1_int": f"CASE WHEN {P1} < q[1] THEN {P1} ELSE 0 END", f"{P1}_q2_int": f"CASE WHEN {P1} >= q[1] AND {P1} <= q[2] THEN {P1} ELSE 0 END",
+        f"{P1}_q3_int": f"CASE WHEN {P1} > q[2] AND {P1} <= q[3] THEN {P1} ELSE 0 END", f"{P1}_q4_int": f"CASE WHEN {P1} > q[3] THEN {P1} ELSE 0 END",
+    },
+}
+
+
+def _shared_sql() -> str:
+    levels = "SELECT *, 1 AS level, cell AS place FROM limited UNION ALL SELECT *, 2, cell // 2 FROM limited UNION ALL SELECT *, 3, cell // 5 FROM limited"
+    limited = f"limited AS (SELECT * FROM analysis, (SELECT quantile_cont({P1}, [0.25, 0.5, 0.75]) AS q FROM analysis))"
+    out = []
+    for family, parts in SHARED.items():
+        xs = ", ".join(f"{e} AS x{i}" for i, e in enumerate(parts.values(), 1))
+        names = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(parts, 1))
+        rows = f"SELECT level AS grp, place AS cell, moy, yr, {EVENT} AS y, {xs} FROM ({levels}) WHERE {P1} IS NOT NULL" + (" AND level = 1" if family == "spline" else "")
+        out.append(f"""SELECT * FROM (WITH {ANALYSIS_SQL}, {limited}, {_fe_sql(rows, len(parts))}
+          SELECT '{family}' AS family, grp AS cell_level, CASE k {names} END AS term, coef, se, n, n_clusters, {len(parts)} AS rank, 'ok' AS status FROM fe)""")
+    return " UNION ALL ".join(out)
+
+
+@query("family:s cell_level:i term:s coef:f se:f n:i n_clusters:i rank:i status:s", _shared_sql())
+def shared_grid(spark, d):
+    """Three families and three cell levels from one reading of the records."""
+    specs = [_spec(**ONE_PERIOD), _spec(**ONE_PERIOD, family="quadratic", signs=False), _spec(**ONE_PERIOD, family="spline", cells=("ID_cell1",))]
+    return run_specs(_model_input(spark, d), specs).withColumn("family", F.substring_index("spec_id", " ", 1))
+
+
+STATUS_GROUP = "CASE WHEN cell = 3 THEN 'one cell' ELSE zone END"
+
+
+@query(
+    "what:s group_value:s term:s coef:f se:f n:i n_clusters:i rank:i status:s",
+    f"""WITH {ANALYSIS_SQL}, {_fe_sql(f"SELECT {STATUS_GROUP} AS grp, cell, moy, yr, {EVENT} AS y, {P1} AS x1 FROM analysis WHERE {P1} IS NOT NULL", 1)}
+    SELECT 'stdm_t' AS what, grp AS group_value, t AS term, CASE WHEN t = '{P1}' THEN coef END AS coef,
+           CASE WHEN t = '{P1}' AND n_clusters > 1 THEN se END AS se, n, n_clusters, 1 AS rank,
+           CASE WHEN t = 'double_it' THEN 'collinear' WHEN n_clusters > 1 THEN 'ok' ELSE 'one cluster' END AS status
+    FROM fe, (VALUES ('{P1}'), ('double_it')) AS terms(t)
+    UNION ALL SELECT DISTINCT 'nothing', {STATUS_GROUP}, NULL, NULL::DOUBLE, NULL::DOUBLE, 0, 0, 0, 'no rows' FROM analysis
+    UNION ALL SELECT 'not_there', NULL, NULL, NULL, NULL, 0, 0, 0, 'columns missing'""",
+)
+def model_status(spark, d):
+    """Models that can't be fitted say why, and don't keep the others from running."""
+    df = _model_input(spark, d).withColumns({
+        "part": F.when(F.col("cell") == 3, "one cell").otherwise(F.col("zone")),
+        "double_it": F.col(P1) * 2,
+        "nothing_born_1m6m_b_avg": F.lit(None).cast("double"),
+    })
+    one = dict(periods=("born_1m6m",), drought=None, signs=False, cells=("ID_cell1",))
+    specs = [_spec(**(one | {"temp": t}), controls=("double_it",)) for t in ("stdm_t", "nothing", "not_there")]
+    found = run_specs(df, specs, "part")
+    return found.withColumns({"what": F.split("spec_id", " ")[2], "status": F.substring_index("status", ":", 1)})
+
+
 INUTERO = "stdm_t_inutero_b_avg"
 SHOCK_SQL = f"""shocked AS (SELECT a.*, CASE WHEN {X2} IS NULL THEN false ELSE {X2} < q[1] OR {X2} > q[2] END AS shock
   FROM analysis a, (SELECT quantile_cont({X2}, [0.15, 0.85]) AS q FROM analysis))"""

@@ -13,7 +13,8 @@ from ..operators.cohort import survivors
 from ..operators.features import AGE_BINS, parse_feature
 from ..operators.joins import skew_join
 from ..operators.quantiles import long_values, many_quantiles, outside_quantiles, quantile_table
-from ..operators.regression import fe_steps
+from ..operators.regression import fe_models
+from ..operators.stacked import Model
 from ..session import materialize
 
 # Period lists of the standard runs, with the exposure scheme and the age bins of the outcome.
@@ -222,69 +223,124 @@ def terms(spec: ModelSpec, period: str, edges: dict[str, Sequence[float] | Colum
 # --- runs ------------------------------------------------------------------
 
 COEFFICIENTS = (
-    "spec_id", "outcome", "cell_level", "term", "coef", "se", "t", "n", "r2", "n_clusters", "group_var", "group_value",
+    "spec_id", "outcome", "cell_level", "term", "coef", "se", "t", "n", "r2", "n_clusters", "rank", "status", "group_var", "group_value",
 )
 
 
+class _Stack:
+    """Variables and models of several specifications over one frame."""
+
+    def __init__(self, df: DataFrame, group: str | None) -> None:
+        self.frame = df.filter(F.col(group).isNotNull()) if group else df
+        self.group = group
+        self.columns: dict[str, Column] = {}
+        self.models: list[Model] = []
+        self.about: list[tuple[ModelSpec, str, dict[str, str]]] = []
+
+    def add(self, spec: ModelSpec, where: Column | None = None) -> None:
+        """One model per life period after birth: the outcome is the event in the period, the sample
+        the records without an event before, the regressors the exposures of all periods so far."""
+        required_columns(spec, self.frame.columns)
+        number = len({id(s) for s, _, _ in self.about})
+        steps = spec.steps
+        alive = F.lit(True) if where is None else where
+        if spec.min_survival is not None:
+            alive = alive & (F.col(spec.age).isNull() | (F.col(spec.age) >= spec.min_survival))
+        sample = []
+        for period in steps:
+            sample.append(alive)
+            alive = alive & (F.col(spec.outcome(period)) == 0)
+        entered = [(s, p) for s, period in enumerate(steps) for p in ([*spec.before, period] if s == 0 else [period])]
+        edges = self._edges(spec, sample, entered, number) if spec.family == "spline" else None
+        # Limits differ between specifications, so their terms are kept apart; all others are known by name.
+        known = {name: f"{name}@{number}" if spec.family == "spline" else name for s, p in entered for name in terms(spec, p, edges)}
+        first = {name: s for s, p in entered for name in terms(spec, p, edges)}
+        self.columns |= {known[name]: column for _, p in entered for name, column in terms(spec, p, edges).items()}
+        self.columns |= {c: F.col(c) for c in (*spec.controls, *(spec.outcome(p) for p in steps))}
+        for s, period in enumerate(steps):
+            xs = [*(known[n] for n in known if first[n] <= s), *spec.controls]
+            self.models.append(Model(spec.outcome(period), tuple(xs), sample[s], tuple(enumerate(spec.cells, 1)), number))
+            self.about.append((spec, spec.outcome(period), {k: n for n, k in known.items()}))
+
+    def _edges(self, spec: ModelSpec, sample: list[Column], entered: list[tuple[int, str]], number: int) -> dict:
+        # A period's terms are made before the events of the period before leave the sample, so its
+        # limits come from that sample; with groups, from the group's records. All in one pass.
+        seen = {spec.exposure(v, p): F.when(sample[max(s - 1, 0)], F.col(spec.exposure(v, p))) for s, p in entered for v in spec.variables}
+        if not self.group:
+            return spline_edges(self.frame, seen, spec.cut)
+        found = materialize(grouped_edges(self.frame, seen, spec.cut, self.group)).withColumnRenamed("_edges", f"_edges{number}")
+        self.frame = skew_join(self.frame, found, [self.group], "left")
+        return {name: F.try_element_at(f"_edges{number}", F.lit(name)) for name in seen}
+
+    def fit(self) -> DataFrame:
+        one = self.about[0][0]
+        names = {c: f"m{i}" for i, c in enumerate(self.columns)}
+        cells = list(dict.fromkeys(c for m in self.models for _, c in m.cells))
+        places = {c: f"c{i}" for i, c in enumerate(cells)}
+        rows = self.frame.select(
+            *([F.col(self.group).cast("string").alias("group_value")] if self.group else []),
+            F.col(one.month).alias("month"),
+            F.col(one.year).alias("year"),
+            *[F.col(c).alias(n) for c, n in places.items()],
+            *[c.alias(names[n]) for n, c in self.columns.items()],
+            *[m.sample.alias(f"in{j}") for j, m in enumerate(self.models)],
+        )
+        models = [Model(names[m.y], tuple(names[x] for x in m.xs), F.col(f"in{j}"), tuple((k, places[c]) for k, c in m.cells), m.block) for j, m in enumerate(self.models)]
+        by = ["group_value"] if self.group else []
+        fitted = fe_models(rows, models, "month", "year", one.trend, by)
+        shown = {f"m{i}": c for i, c in enumerate(self.columns)}
+        label = F.create_map(*[F.lit(x) for n, c in shown.items() for x in (n, c.rpartition("@")[0] if "@" in c else c)])
+        # every model has a row, also one that no record is in
+        asked = F.array(*[F.struct(F.lit(j).alias("model"), F.lit(k).alias("cell_level")) for j, m in enumerate(models) for k, _ in m.cells])
+        groups = rows.select(*by).distinct() if by else rows.sparkSession.range(1)
+        due = groups.select(*by, F.explode(asked).alias("m")).select(*by, "m.*")
+        found = skew_join(due, fitted, [*by, "model", "cell_level"], "left")
+        specs = F.array(*[F.lit(s.spec_id) for s, _, _ in self.about])
+        outcomes = F.array(*[F.lit(y) for _, y, _ in self.about])
+        return found.select(
+            specs[F.col("model")].alias("spec_id"),
+            outcomes[F.col("model")].alias("outcome"),
+            "cell_level",
+            label[F.col("term")].alias("term"),
+            "coef", "se", "t", F.coalesce("n", F.lit(0)).alias("n"), "r2", F.coalesce("n_clusters", F.lit(0)).alias("n_clusters"),
+            F.coalesce("rank", F.lit(0)).alias("rank"),
+            F.coalesce("status", F.lit("no rows")).alias("status"),
+            F.lit(self.group).cast("string").alias("group_var"),
+            (F.col("group_value") if self.group else F.lit(None).cast("string")).alias("group_value"),
+        )
+
+
 def survivor_models(df: DataFrame, spec: ModelSpec, group: str | None = None, where: Column | None = None) -> DataFrame:
     """One model per life period after birth and per cell level, all in one pass.
 
-    The outcome is the event in the period; the sample is the records without an event in the
-    earlier periods; the regressors are the exposures of all periods so far. The samples are
-    nested, so a record is read once per cell level for all periods.
+    A column that is missing raises. A model that no record is in has one row without a term.
     """
-    frame = model_frame(df, spec, where, [group] if group else [])
-    if group:
-        frame = frame.filter(F.col(group).isNotNull())
-    steps = spec.steps
-    alive, sample = F.lit(True), []
-    for period in steps:
-        sample.append(alive)
-        alive = alive & (F.col(spec.outcome(period)) == 0)
-
-    entered = [(s, p) for s, period in enumerate(steps) for p in ([*spec.before, period] if s == 0 else [period])]
-    edges = None
-    if spec.family == "spline":
-        # A period's terms are made before the events of the period before leave the sample, so its
-        # limits come from that sample; with groups, from the group's records. All in one pass.
-        seen = {spec.exposure(v, p): F.when(sample[max(s - 1, 0)], F.col(spec.exposure(v, p))) for s, p in entered for v in spec.variables}
-        if group:
-            frame = skew_join(frame, materialize(grouped_edges(frame, seen, spec.cut, group)), [group], "left")
-            edges = {name: F.try_element_at("_edges", F.lit(name)) for name in seen}
-        else:
-            edges = spline_edges(frame, seen, spec.cut)
-    columns: dict[str, Column] = {}
-    first: dict[str, int] = {}
-    for s, p in entered:
-        for name, column in terms(spec, p, edges).items():
-            columns[name] = column
-            first.setdefault(name, s)
-
-    outcomes = [spec.outcome(p) for p in steps]
-    rows = frame.select(
-        *([F.col(group).cast("string").alias("group_value")] if group else []),
-        *dict.fromkeys([spec.month, spec.year, *spec.cells, *outcomes, *spec.controls, *[n for n in columns if n in frame.columns]]),
-        *[c.alias(n) for n, c in columns.items() if n not in frame.columns],
-        *[c.alias(f"_in{s}") for s, c in enumerate(sample)],
-    )
-    models = [(y, [*[n for n in columns if first[n] <= s], *spec.controls]) for s, y in enumerate(outcomes)]
-    inside = [F.col(f"_in{s}") for s in range(len(steps))]
-    by = ["group_value"] if group else []
-    fitted = fe_steps(rows, models, inside, spec.cells, spec.month, spec.year, spec.trend, by)
-    names = F.array(*[F.lit(y) for y in outcomes])
-    return fitted.select(
-        F.lit(spec.spec_id).alias("spec_id"),
-        names[F.col("step")].alias("outcome"),
-        "cell_level",
-        "term", "coef", "se", "t", "n", "r2", "n_clusters",
-        F.lit(group).cast("string").alias("group_var"),
-        (F.col("group_value") if group else F.lit(None).cast("string")).alias("group_value"),
-    )
+    stack = _Stack(df, group)
+    stack.add(spec, where)
+    return stack.fit()
 
 
 def run_specs(df: DataFrame, specs: Sequence[ModelSpec], group: str | None = None) -> DataFrame:
-    """Coefficients of every specification, optionally per value of a column."""
-    return reduce(DataFrame.unionByName, [survivor_models(df, s, group) for s in specs])
+    """Coefficients of every specification, optionally per value of a column, with a status each.
+
+    Specifications with the same month, year and trend share one reading of the records. One whose
+    columns are missing doesn't end the run: it has one row, whose status names them.
+    """
+    stacks: dict[tuple, _Stack] = {}
+    failed: list[tuple[str, str]] = []
+    for spec in specs:
+        try:
+            required_columns(spec, df.columns)
+        except ValueError as missing:
+            failed.append((spec.spec_id, str(missing)))
+            continue
+        stacks.setdefault((spec.month, spec.year, spec.trend), _Stack(df, group)).add(spec)
+    out = [s.fit() for s in stacks.values()]
+    if failed:
+        kinds = "outcome string, cell_level int, term string, coef double, se double, t double, n long, r2 double, n_clusters long, rank int"
+        rows = [(i, *[None] * 6, 0, None, 0, 0, why, group, None) for i, why in failed]
+        out.append(df.sparkSession.createDataFrame(rows, f"spec_id string, {kinds}, status string, group_var string, group_value string"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def shock_group(
