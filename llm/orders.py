@@ -4,7 +4,7 @@ A document's set has its distinct word shingles as 64-bit hashes. Of two sets wi
 similarity of at least t, each has so many tokens in common with the other that, whatever order all
 tokens are put in, the smallest common token is among the first n - ceil(t * n) + 1 tokens of
 either. So candidates must share a prefix token under every order. Three orders are used: rarest
-first, by a table of `1 << BITS` counters over all sets, in which a token that nothing else is
+first, by a table of counters over all sets, in which a token that nothing else is
 counted with is nobody else's; and two by hashes.
 
 Equal sets are one node. Documents that share a prefix token of the first order are a group; groups
@@ -23,17 +23,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from llm.common import id_order, store, with_row_ids
 from llm.components import components
-from llm.jaccard import shingles, similar
-from llm.windows import mix
+from llm.jaccard import similar
+from llm.windows import BASE, mix
 
 WIDTH, LEAST = 3, (9, 10)
-#: Counters of the table of token frequencies; 4 bytes each, whatever the corpus holds.
-BITS = 20
+#: Counters of the table of token frequencies: 32 for a document, between these powers of two. At 4
+#: bytes each the driver and the tasks hold 64 MB of them at most.
+BITS = (16, 24)
 CHUNK = 1 << 12
 #: Prefix tokens of the members that one task keeps; larger groups are dealt by their tokens of the second order.
 HOMES = 1 << 18
@@ -50,39 +52,74 @@ def _slots(tokens: np.ndarray, bits: int) -> np.ndarray:
     return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _first(key: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """Which tokens are in the prefix under the order of the key; all of those that tie with its last."""
+    n = prefix_length(len(key), least)
+    return key <= np.partition(key, n - 1)[n - 1] if n else np.zeros(0, bool)
+
+
 def by_hash(tokens: np.ndarray, seed: np.uint64, least: tuple[int, int] = LEAST) -> np.ndarray:
-    """The prefix under a hashed order, as the low 32 bits of its tokens, sorted."""
-    key = mix(tokens ^ seed)
-    first = np.argpartition(key, min(len(key) - 1, prefix_length(len(key), least) - 1))[: prefix_length(len(key), least)] if len(key) else []
-    return np.unique(tokens[first].astype(np.uint32)).view(np.int32)
+    """The prefix under a hashed order, as the low 32 bits of its tokens."""
+    return tokens[_first(mix(tokens ^ seed), least)].astype(np.uint32).view(np.int32)
 
 
 def by_rarity(tokens: np.ndarray, counts: np.ndarray, bits: int, least: tuple[int, int] = LEAST) -> np.ndarray:
     """The prefix under the order of counts, without tokens that are nobody else's."""
     n = counts[_slots(tokens, bits)]
-    first = np.lexsort((tokens, n))[: prefix_length(len(tokens), least)]
-    return tokens[first[n[first] > 1]].view(np.int64)
+    key = (n.astype(np.uint64) << np.uint64(32)) | (tokens & np.uint64(0xFFFFFFFF))
+    return tokens[_first(key, least) & (n > 1)].view(np.int64)
+
+
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct hashes of the word shingles of each text; each distinct word is hashed once."""
+    lower = pc.ascii_lower(texts.fill_null(b"").cast(pa.large_binary()).view(pa.large_string()))
+    parts = pc.ascii_split_whitespace(lower)
+    flat = parts.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)
+    offsets = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+    words = flat.filter(some).dictionary_encode()
+    known = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in words.dictionary), np.uint64, len(words.dictionary))
+    h = mix(known)[words.indices.to_numpy()] if len(known) else np.empty(0, np.uint64)
+    rolled = np.zeros(len(h), np.uint64)
+    for i in range(WIDTH):
+        rolled[: len(h) - i] = rolled[: len(h) - i] * np.uint64(BASE) + h[i:]
+    rolled = mix(rolled)
+    out = []
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        if 0 < hi - lo < WIDTH:
+            out.append(np.array([xxhash.xxh3_64_intdigest(h[lo:hi].tobytes())], np.uint64))
+            continue
+        found = np.sort(rolled[lo : hi - WIDTH + 1]) if hi > lo else h[:0]
+        new = np.ones(len(found), bool)
+        new[1:] = found[1:] != found[:-1]
+        out.append(found[new])
+    return out
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for lo in range(0, batch.num_rows, ROWS):
             piece = batch.slice(lo, ROWS)
-            yield piece, [shingles(t, WIDTH) for t in piece.column("text").to_pylist()]
+            yield piece, _sets(piece.column("text"))
 
 
 def _prints(rows: DataFrame, bits: int) -> DataFrame:
-    """A row for each document (rid, doc_id, n, digest), and for each task its counts in chunks (chunk, counts)."""
+    """A row for each document (rid, doc_id, n, digest), and for each task its counts in chunks (chunk, counts).
+
+    A task counts up to 255, which keeps its chunks small; sums of that order tokens just as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         for piece, sets in _texts(batches):
-            counts += np.bincount(_slots(np.concatenate(sets), bits), minlength=1 << bits).astype(np.uint32)
+            np.add.at(counts, _slots(np.concatenate(sets), bits), np.uint32(1))
             empty = [None] * len(sets)
             yield pa.RecordBatch.from_arrays([piece.column("rid"), piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(empty, pa.int32()), pa.array(empty, pa.binary())], SCHEMA)
-        chunks = [(i, c.tobytes()) for i, c in enumerate(counts.reshape(-1, CHUNK)) if c.any()]
-        none = [None] * len(chunks)
-        yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64())] * 3 + [pa.array(none, pa.binary()), pa.array([i for i, _ in chunks], pa.int32()), pa.array([c for _, c in chunks], pa.binary())], SCHEMA)
+        chunks = [(i, c.tobytes()) for i, c in enumerate(np.minimum(counts, 255).astype(np.uint8).reshape(-1, CHUNK)) if c.any()]
+        for lo in range(0, len(chunks), ROWS):
+            some = chunks[lo : lo + ROWS]
+            none = [None] * len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64())] * 3 + [pa.array(none, pa.binary()), pa.array([i for i, _ in some], pa.int32()), pa.array([c for _, c in some], pa.binary())], SCHEMA)
 
     return rows.mapInArrow(run, "rid long, doc_id long, n long, digest binary, chunk int, counts binary")
 
@@ -97,11 +134,10 @@ def _frequencies(marks: DataFrame, bits: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, np.uint32).astype(np.uint64)
-        most = np.uint64(np.iinfo(np.uint32).max)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(total), pa.int32()), "counts": pa.array([np.minimum(x, most).astype(np.uint32).tobytes() for x in total.values()], pa.binary())})
+                total[chunk] = total.get(chunk, np.uint32(0)) + np.frombuffer(counts, np.uint8).astype(np.uint32)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(total), pa.int32()), "counts": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
-    out = np.zeros((1 << bits) // CHUNK * CHUNK, np.uint32).reshape(-1, CHUNK)
+    out = np.zeros(1 << bits, np.uint32).reshape(-1, CHUNK)
     for row in marks.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():
         out[row.chunk] = np.frombuffer(row.counts, np.uint32)
     return out.ravel()
@@ -266,7 +302,7 @@ def similar_links(rows: DataFrame, prefixes: DataFrame, homes: int = HOMES) -> D
     return store(first.unionByName(store(second, "joined")), "similar")
 
 
-def similar_sets(docs: DataFrame, homes: int = HOMES, bits: int = BITS) -> DataFrame:
+def similar_sets(docs: DataFrame, homes: int = HOMES, bits: int | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs`.
 
     A-Z count as a-z. A text with fewer words than a shingle is one shingle; one without words, or
@@ -274,7 +310,8 @@ def similar_sets(docs: DataFrame, homes: int = HOMES, bits: int = BITS) -> DataF
     reach, null if all are null; rows with equal sets are linked, also rows that are repeated.
     Only doc_id and text are read.
     """
-    rows = with_row_ids(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = with_row_ids(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    bits = bits or min(max((32 * rows.count()).bit_length(), BITS[0]), BITS[1])
     marks = store(_prints(rows, bits), "prints")
     prints = marks.filter("chunk is null").select("rid", "doc_id", "n", "digest")
     firsts = store(prints.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("first")), "sets")
