@@ -53,6 +53,31 @@ def quantile_table(values: DataFrame, keys: Sequence[str], probs: Sequence[float
     return found.select(*keys, F.array(*between).alias("edges"))
 
 
+#: Size of a sketch: its rank error is under 1.7 % with this size, with 99 % confidence.
+SKETCH = 200
+
+
+def quantile_sketches(values: DataFrame, keys: Sequence[str], size: int = SKETCH) -> DataFrame:
+    """(keys…, sketch, n): a mergeable sketch of the non-null values ``v`` of each group.
+
+    For tables too large for exact quantiles, and for tables that grow: sketches of batches can be
+    stored and merged. Its size does not depend on the number of values.
+    """
+    known = values.filter("v IS NOT NULL AND NOT isnan(v)")
+    return known.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col("v").cast("double"), size).alias("sketch"), F.count("*").alias("n"))
+
+
+def merged_sketches(sketches: DataFrame, keys: Sequence[str], size: int = SKETCH) -> DataFrame:
+    """(keys…, sketch, n) of several tables of sketches below each other."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", size).alias("sketch"), F.sum("n").alias("n"))
+
+
+def sketch_quantiles(sketches: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(keys…, edges, n): values of the groups whose rank is within the sketch's error of each share."""
+    edges = F.array(*[F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))) for p in probs])
+    return sketches.select(*keys, edges.alias("edges"), "n")
+
+
 def long_values(df: DataFrame, columns: dict[str, Column], group: Sequence[str] = ()) -> DataFrame:
     """(group…, name, v): the values of several columns below each other."""
     each = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, c in columns.items()])

@@ -73,7 +73,7 @@ class Layout:
             self.at.append(square[np.ix_(own, own)])
 
 
-def _changes(frame: pd.DataFrame) -> np.ndarray:
+def changes(frame: pd.DataFrame) -> np.ndarray:
     """Where a row differs from the one before; nulls are equal to each other."""
     out = np.zeros(len(frame), bool)
     out[:1] = True
@@ -93,8 +93,8 @@ def _parts(rows: DataFrame, layout: Layout, keys: list[str], names: list[str]) -
                 continue
             labels = batch.select([*keys, "_pattern", "_month"]).to_pandas()
             values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
-            group = _changes(labels[[*keys, "_pattern"]])
-            start = np.flatnonzero(group | _changes(labels[["_month"]]))
+            group = changes(labels[[*keys, "_pattern"]])
+            start = np.flatnonzero(group | changes(labels[["_month"]]))
             n = np.diff(np.append(start, len(labels)))
             sums = np.add.reduceat(values, start, axis=0)
             squares = np.add.reduceat(values[:, layout.y_at] ** 2, start, axis=0)

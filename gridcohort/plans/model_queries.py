@@ -227,6 +227,21 @@ def shock_models(spark, d):
     return run_specs(marked, [spec], "shock")
 
 
+FULL = [f"{v}_{p}_b_avg" for p in ("inutero", "born_1m6m") for v in ("spi1", "stdm_t")] + ["rural"]
+
+
+@query(
+    "group_value:s term:s coef:f se:f n:i n_clusters:i status:s",
+    f"""WITH {ANALYSIS_SQL}, {SHOCK_SQL}, {_fe_sql(f"SELECT shock AS grp, cell, moy, yr, {EVENT} AS y, {', '.join(f'{x} AS x{i}' for i, x in enumerate(FULL, 1))} FROM shocked WHERE {' AND '.join(f'{x} IS NOT NULL' for x in FULL)}", 5)}
+    SELECT CAST(grp AS VARCHAR) AS group_value, CASE k {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(FULL, 1))} END AS term, coef, se, n, n_clusters, 'ok' AS status FROM fe""",
+)
+def shock_models_full(spark, d):
+    """Models outside and inside the central range with drought, temperature and a control."""
+    df = _model_input(spark, d).withColumn("temp_shock", F.col(X2))
+    spec = _spec(signs=False, periods=("inutero", "born_1m6m"), cells=("ID_cell1",))
+    return run_specs(shock_group(df, "temp_shock"), [spec], "shock")
+
+
 # One exposure in one life period; day counts are made from it, so that every family has its columns.
 ONE = dict(periods=("born_1m6m",), drought=None, controls=(), cells=("ID_cell1",))
 HOT, COLD = "hd35_born_1m6m_b_avg", "fd_born_1m6m_b_avg"
@@ -289,12 +304,12 @@ def horserace_models(spark, d):
 @query(
     "id:i q1:f q2:f q3:f q4:f",
     f"""WITH {ANALYSIS_SQL}, e AS (SELECT quantile_cont({X2}, [0.25, 0.5, 0.75]) AS q FROM analysis)
-    SELECT id, CASE WHEN x < q[1] THEN x ELSE 0 END AS q1, CASE WHEN x >= q[1] AND x <= q[2] THEN x ELSE 0 END AS q2,
-           CASE WHEN x > q[2] AND x <= q[3] THEN x ELSE 0 END AS q3, CASE WHEN x > q[3] THEN x ELSE 0 END AS q4
-    FROM (SELECT id, {X2} AS x FROM analysis WHERE {X2} IS NOT NULL), e""",
+    SELECT id, CASE WHEN x IS NULL THEN NULL WHEN x < q[1] THEN x ELSE 0 END AS q1, CASE WHEN x IS NULL THEN NULL WHEN x >= q[1] AND x <= q[2] THEN x ELSE 0 END AS q2,
+           CASE WHEN x IS NULL THEN NULL WHEN x > q[2] AND x <= q[3] THEN x ELSE 0 END AS q3, CASE WHEN x IS NULL THEN NULL WHEN x > q[3] THEN x ELSE 0 END AS q4
+    FROM (SELECT id, {X2} AS x FROM analysis), e""",
 )
 def spline_bins(spark, d):
-    df = analysis(spark, d).filter(F.col(X2).isNotNull()).select("id", X2)
+    df = analysis(spark, d).select("id", X2)
     made = spline_terms(X2, spline_edges(df, {X2: F.col(X2)}, "quartile")[X2])
     return df.select("id", *[c.alias(f"q{n[-5]}") for n, c in made.items()])
 
@@ -521,6 +536,20 @@ def horserace_view(spark, d):
     )
 
 
+@query(
+    "spec_id:s key:s window:s coef:f lower:f n:i",
+    f"""WITH {COEFS_SQL}
+    SELECT spec_id, 'born_1m_b_pos_int' AS key, 'w' || (CASE outcome WHEN 'first' THEN 3 ELSE 6 END * cell_level) AS window, coef, coef - 1.96 * se AS lower, n
+    FROM coefs WHERE term = '{TERMS[4]}'""",
+)
+def window_view(spark, d):
+    """Estimates by the length of their window, which the term names."""
+    made = _coefs(spark, d).filter(F.col("term") == TERMS[4])
+    length = F.when(F.col("outcome") == "first", 3).otherwise(6) * F.col("cell_level")
+    named = made.withColumns({"term": F.concat(F.lit("stdm_t_born_1m_b_w"), length, F.lit("_pos_int")), "cell_level": F.lit(1)})
+    return coefficient_view(named, "window").select("spec_id", "key", "window", "coef", "lower", "n")
+
+
 @query(
     "spec_id:s outcome:s kind:s key:s c1:f c2:f c3:f",
     f"""WITH {COEFS_SQL}, t AS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -35,9 +36,11 @@ from ..operators.joins import (
     nearest_within,
     semi_anti_split,
     with_cell_index,
+    skew_join,
 )
-from ..operators.quality import column_means, density_table, describe_table, distinct_count, distinct_values, frequency, sparse_cells
-from ..operators.quantiles import outside_quantiles, quantile_bin
+from ..operators.quality import binned_density, column_means, density_table, describe_table, distinct_count, distinct_values, frequency, histogram, sparse_cells
+from ..operators.quantiles import merged_sketches, outside_quantiles, quantile_bin, quantile_sketches, sketch_quantiles
+from ..operators.series import apply_series
 from ..session import materialize
 from .registry import query
 from .roles import (
@@ -54,6 +57,7 @@ from .roles import (
     lon_sql,
     longitude,
     table,
+    grid_coarse,
 )
 
 # --- cohort ----------------------------------------------------------------
@@ -458,7 +462,12 @@ def quantile_bins(spark, d):
     return quantile_bin(people, "v", 2, "zone_half", ["zone"])
 
 
-@query("n_types:i kept:i", "SELECT 4 AS n_types, count(*) AS kept FROM orders")
+@query(
+    "n_types:i kept:i",
+    """SELECT CASE WHEN max(abs(o_orderkey % 100)) < 2147483648 THEN 1 ELSE 0 END + CASE WHEN max(abs(o_orderkey % 20000)) < 2147483648 THEN 1 ELSE 0 END
+              + CASE WHEN max(abs(o_custkey)) < 2147483648 THEN 1 ELSE 0 END + CASE WHEN any_value(typeof(o_totalprice)) <> 'FLOAT' THEN 1 ELSE 0 END AS n_types,
+              count(*) AS kept FROM orders""",
+)
 def narrowed_columns(spark, d):
     """Casts chosen from the value ranges; the values themselves stay."""
     lines = table(spark, d, "orders").select(
@@ -525,6 +534,64 @@ def density_curve(spark, d):
     return density_table(table(spark, d, "lineitem"), ["l_quantity"], 0.0, 60.0, 25)
 
 
+@query(
+    "flag:s column:s bin:i n:i",
+    """SELECT l_returnflag AS flag, "column", CASE WHEN v < 5 THEN 0 WHEN v > 45 THEN 9 WHEN v = 45 THEN 8 ELSE CAST(floor((v - 5) / 5.0) AS INTEGER) + 1 END AS bin, count(*) AS n
+    FROM (SELECT l_returnflag, 'l_quantity' AS "column", CAST(l_quantity AS DOUBLE) AS v FROM lineitem
+          UNION ALL SELECT l_returnflag, 'l_discount', CAST(l_discount AS DOUBLE) * 400 FROM lineitem) GROUP BY ALL""",
+)
+def histogram_counts(spark, d):
+    """Counts of two columns by group, in one aggregate."""
+    lines = table(spark, d, "lineitem").withColumn("l_discount", F.col("l_discount").cast("double") * 400)
+    return histogram(lines, ["l_quantity", "l_discount"], 5.0, 45.0, 8, ["l_returnflag"]).withColumnRenamed("l_returnflag", "flag")
+
+
+@query(
+    "column:s x:f density:f6 bound:f6",
+    """WITH v AS (SELECT CAST(l_quantity AS DOUBLE) AS q FROM lineitem), s AS (SELECT stddev_samp(q) * power(count(q), -0.2) AS h, count(q) AS total FROM v),
+    b AS (SELECT CASE WHEN q = 60 THEN 240 ELSE floor(q / 0.25) + 1 END AS bin, count(*) AS n FROM v WHERE q BETWEEN 0 AND 60 GROUP BY 1)
+    SELECT 'l_quantity' AS "column", i * 2.5::DOUBLE AS x,
+           sum(n * exp(-power((i * 2.5::DOUBLE - (bin - 0.5) * 0.25) / h, 2) / 2)) / (any_value(total) * any_value(h) * sqrt(2 * pi())) AS density,
+           0.125 * 0.242 / power(any_value(h), 2) AS bound
+    FROM b, s, range(0, 25) AS g(i) GROUP BY i""",
+)
+def binned_density_curve(spark, d):
+    """Kernel sums over bins, which no longer depend on the number of rows."""
+    return binned_density(table(spark, d, "lineitem"), ["l_quantity"], 0.0, 60.0, 25, 240)
+
+
+@query(
+    "flag:s n:i close:b",
+    "SELECT l_returnflag AS flag, count(l_extendedprice) AS n, true AS close FROM lineitem GROUP BY 1",
+)
+def quantile_sketch(spark, d):
+    """Sketches of two batches, stored and merged; their quartiles by rank among all values."""
+    values = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("v"), "l_linenumber")
+    parts = [materialize(quantile_sketches(values.filter(c), ["flag"])) for c in ("l_linenumber <= 2", "l_linenumber > 2")]
+    found = sketch_quantiles(merged_sketches(parts[0].unionByName(parts[1]), ["flag"]), ["flag"], [0.25, 0.5, 0.75])
+    near = [
+        (F.avg((F.col("v") < F.col("edges")[i]).cast("double")) <= p + 0.0167) & (F.avg((F.col("v") <= F.col("edges")[i]).cast("double")) >= p - 0.0167)
+        for i, p in enumerate((0.25, 0.5, 0.75))
+    ]
+    return skew_join(values, found, ["flag"]).groupBy("flag", "n").agg((near[0] & near[1] & near[2]).alias("close"))
+
+
+@query(
+    "cell:i month:d change:f",
+    f"""WITH {GRID_SQL}, n AS (SELECT *, year(month) * 12 + month(month) AS i, avg(tp) OVER (PARTITION BY cell) AS mean FROM grid)
+    SELECT a.cell, a.month, (a.tp - b.tp) / a.mean AS change FROM n a LEFT JOIN n b ON a.cell = b.cell AND b.i = a.i - 5""",
+)
+def applied_series(spark, d):
+    """A user function over whole series: the change over five calendar months, in means of the cell."""
+
+    def change(values):
+        out = np.full(len(values), np.nan)
+        out[5:] = values[5:] - values[:-5]
+        return out / np.nanmean(values)
+
+    return apply_series(grid_coarse(spark, d), "tp", change, "change", ["cell"])
+
+
 @query(
     "column:s mean:f",
     f"""WITH {BIRTHS_SQL} SELECT unnest(['age_biannual_1m6m', 'age_biannual_6m12m', 'age_biannual_12m18m']) AS "column",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import number_text, stars
 from ..operators.joins import skew_join
+from ..operators.quality import checked_rows
 from ..operators.results import EXTREME_PREFIXES, SPI_PREFIXES, TEMP_PREFIXES, confidence_bounds, with_term_parts
 
 # Forms of a sample size, tried in this order.
@@ -14,10 +15,16 @@ KEYWORDS = "drought|excessiverain|t_|std_t|stdm_t|spi"
 
 
 def read_reports(spark: SparkSession, path: str, glob: str = "*.tex") -> DataFrame:
-    """(file, line_no, text) of every report below a folder."""
-    whole = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
+    """(file, line_no, text) of every report in a folder and the folders below it.
+
+    ``file`` is the path from the folder on, so reports of one name in two folders stay two.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath()
+    whole = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup="true")
+    place = F.regexp_replace(F.try_url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), r"^[^:/]+:(//[^/]*)?", "")
     return whole.select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"),
+        F.substring(place, len(root.rstrip("/")) + 2, 1 << 30).alias("file"),
         F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "text"),
     )
 
@@ -36,13 +43,14 @@ def report_body(lines: DataFrame, header: int = 0, footer: int = 0) -> DataFrame
 
 
 def ingest_reports(
-    lines: DataFrame, n_levels: int = 3, drop_last: int = 0, terms: str | None = None, critical_value: float = 1.96
+    lines: DataFrame, n_levels: int = 3, drop_last: int = 0, terms: str | None = None, critical_value: float = 1.96, strict: bool = False
 ) -> DataFrame:
     """Coefficients (file, term, kind, key, outcome, cell_level, coef, se, lower, upper, n_stars).
 
     A row of a known term carries one coefficient per column; column i belongs to outcome
     ``i div n_levels`` and level ``i mod n_levels``. Standard errors come from the next line by an
-    equi-join on (file, line). ``drop_last`` leaves out that many last outcomes.
+    equi-join on (file, line). ``drop_last`` leaves out that many last outcomes. With ``strict`` a
+    report whose coefficient rows differ in their number of cells, or from their errors, ends the job.
     """
     known = terms or "^(" + "|".join((*SPI_PREFIXES, *TEMP_PREFIXES, *EXTREME_PREFIXES)) + ")"
     cells = lines.select("file", "line_no", _fields(F.col("text")).alias("cell"))
@@ -52,6 +60,15 @@ def ingest_reports(
     paired = rows.join(errors, ["file", "line_no"], "left").withColumn(
         "outcomes", F.floor((F.size("cell") - 1) / F.lit(n_levels)).cast("int")
     )
+    if strict:
+        length = Window.partitionBy("file").orderBy("line_no")
+        paired = paired.withColumn("_cells", F.first(F.size("cell")).over(length))
+        place = F.concat_ws(":", "file", "line_no")
+        paired = checked_rows(
+            paired,
+            {"as many cells in every row": F.size("cell") == F.col("_cells"), "as many errors as coefficients": F.size("error") == F.size("cell")},
+            place,
+        ).drop("_cells")
     values = paired.select(
         "file",
         "line_no",

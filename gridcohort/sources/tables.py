@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.columns import clean_nans
 from ..operators.joins import TARGET_ROWS, hot_parts
@@ -68,14 +69,76 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def commit_table(df: DataFrame, path: str, before: Callable[[], None] | None = None) -> bool:
+    """Write a table beside the path, then give it its name in one step. False if another writer was first.
+
+    Readers see the whole table or none. ``before`` is called when the files are written; if it
+    raises, they are removed and the path stays as it was. The one who is late removes its own files.
+    """
+    spark = df.sparkSession
+    target, files = _path(spark, path)
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    source, _ = _path(spark, staged)
+    try:
+        write_table(df, staged, "errorifexists")
+        if before:
+            before()
+        if files.exists(target):
+            return False
+        # Renaming a folder fails where the name is taken, or, in some stores, puts it inside.
+        won = files.rename(source, target)
+        inside, _ = _path(spark, f"{path.rstrip('/')}/{staged.rsplit('/', 1)[-1]}")
+        if files.exists(inside):
+            files.delete(inside, True)
+            return False
+        return bool(won)
+    finally:
+        if files.exists(source):
+            files.delete(source, True)
+
+
 def ensure_table(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``, built and written first if it is not complete."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    files = marker.getFileSystem(spark._jsc.hadoopConfiguration())
+    """The table at ``path``, built first if it isn't there.
+
+    Several drivers may call this at once: each builds beside the path, one gives its table the name,
+    and all read that one. A folder left without its mark of success is not taken for a table.
+    """
+    marker, files = _path(spark, f"{path.rstrip('/')}/_SUCCESS")
     if not files.exists(marker):
-        write_table(build(), path)
+        target, _ = _path(spark, path)
+        if files.exists(target):
+            raise ValueError(f"{path} holds something that is no finished table")
+        if not commit_table(build(), path) and not files.exists(marker):
+            raise ValueError(f"{path} could not be written")
     return spark.read.parquet(path)
 
 
+def write_series(df: DataFrame, path: str, month: str = "month", mode: str = "errorifexists") -> None:
+    """A series in yearly folders, rows in the order of months, so that a time select opens only its years."""
+    dated = df.withColumn("year", F.year(month))
+    dated.repartition("year").sortWithinPartitions("year", month).write.mode(mode).option("compression", "zstd").partitionBy("year").parquet(path)
+
+
+def scan_series(
+    spark: SparkSession, path: str, schema: StructType | str, first: str | None = None, last: str | None = None, month: str = "month"
+) -> DataFrame:
+    """Months ``first`` to ``last`` of a series of :func:`write_series`. With its schema given no file is
+    opened before the scan; folders of other years are not listed in it, and the months inside a year
+    are picked by the statistics of its row groups."""
+    given = f"{schema}, year int" if isinstance(schema, str) else StructType([*schema.fields, StructField("year", IntegerType())])
+    df = spark.read.schema(given).parquet(path)
+    for bound, below in ((first, False), (last, True)):
+        if bound is not None:
+            day = F.lit(bound).cast("date")
+            inside = (F.col("year") <= F.year(day)) & (F.col(month) <= day) if below else (F.col("year") >= F.year(day)) & (F.col(month) >= day)
+            df = df.filter(inside)
+    return _known(df.drop("year"))
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", "true").csv(path)
