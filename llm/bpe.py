@@ -1,9 +1,9 @@
 """Byte-level BPE: encoding by rank tables in overlapping chunks, decoding by concatenated bytes.
 
 A text longer than a chunk is cut into chunks that overlap. Each chunk is pre-tokenised by itself,
-in any task. The pattern only looks ahead, so two scans that share a boundary agree from there on:
+in any task. The pattern looks ahead, by one character and only after white space, so two scans that share a boundary agree from there on:
 the scan of a chunk is taken up at the first boundary in the overlap that the scan before has as
-well, and the stretches between those places are encoded, again in any task. Where two scans don't
+well and that no white space precedes, and the stretches between those places are encoded, again in any task. Where two scans don't
 meet inside the overlap, the rest of the text from the last certain boundary is one stretch. A text
 of one chunk is a stretch as it is and moves nowhere.
 """
@@ -58,20 +58,24 @@ class Codec:
         return b"".join(map(self.token.__getitem__, ids))
 
     def boundaries(self, chunk: str, last: bool) -> list[int]:
-        """Starts of matches in the chunk; the last ones may depend on what follows it."""
+        """Starts of matches in the chunk that a text may be cut at; the last ones may depend on what follows it.
+
+        Not after white space: how a run of it is matched depends on the character that follows, which
+        a stretch that ends there wouldn't have.
+        """
         starts = [m.start() for m in self.pattern.finditer(chunk)]
-        return starts if last else starts[:-2]
+        starts = starts if last else starts[:-2]
+        return [s for s in starts if s == 0 or not WHITE.match(chunk, s - 1)]
 
 
-_codecs: dict[int, Codec] = {}
+WHITE = regex.compile(r"\s")
 
 
 def _codec(shared) -> Codec:
-    key = id(shared)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(*shared.value)
-    return _codecs[key]
+    """The encoder of a broadcast vocabulary, which a worker keeps with it."""
+    if not hasattr(shared, "codec"):
+        shared.codec = Codec(*shared.value)
+    return shared.codec
 
 
 def split_chunks(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str]]:

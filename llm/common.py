@@ -120,4 +120,4 @@ def id_order(doc_id: str = "doc_id") -> Column:
 def rows_of(df: DataFrame, rids: DataFrame) -> DataFrame:
     """The rows of `df`, all columns, whose row ids (`with_row_ids`) are in the column `rid`."""
     name = _unused("_row_id", df.columns)
-    return with_row_ids(df, *df.columns, name=name).join(rids.select(F.col("rid").alias(name)), name, "left_semi").drop(name)
+    return with_row_ids(df, *(F.col(f"`{c}`") for c in df.columns), name=name).join(rids.select(F.col("rid").alias(name)), name, "left_semi").drop(name)

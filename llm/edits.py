@@ -5,6 +5,8 @@ space are single spaces. An item of m bytes may differ from a passage by `m // B
 edits. It is cut into one piece more than its budget: by the pigeonhole principle a passage within
 the budget holds one of the pieces unchanged. An automaton finds all pieces in a document, and
 around each hit Myers' bit-parallel algorithm gives the least distance of the item to any passage.
+Items of fewer than LEAST_BYTES bytes are one piece, without edits, and count where the piece stands
+between word borders.
 
 The items are a stated query set. They are read in blocks of bounded size, and each block is
 searched for in all documents, so nothing but one block is ever on the driver or broadcast.
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from llm.common import arrow_map, with_row_ids
 
 BYTES_PER_EDIT = 16
-#: Shorter items have no passage of their own: only a document that equals them counts.
+#: Shorter items are found unchanged and as whole words only.
 LEAST_BYTES = 32
 #: Bytes of items in a block.
 BLOCK_BYTES = 16 << 20
@@ -83,12 +85,11 @@ class Searcher:
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.items = items
-        self.whole: dict[bytes, list[int]] = defaultdict(list)
         found: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for i, (_, item) in enumerate(items):
             if len(item) < LEAST_BYTES:
                 if item:
-                    self.whole[item].append(i)
+                    found[item].append((i, len(item)))
                 continue
             for offset, piece in pieces(item):
                 found[piece].append((i, offset + len(piece)))
@@ -102,11 +103,16 @@ class Searcher:
 
     def search(self, text: bytes) -> dict[int, int]:
         """Item number to distance, of the items that occur within their budget."""
-        out = {i: 0 for i in self.whole.get(text, ())}
+        out: dict[int, int] = {}
         stretches: dict[int, list[list[int]]] = defaultdict(list)
         for end, at in self.automaton.iter(text.decode("latin-1")) if self.ready else ():
             for i, done in at:
                 item = self.items[i][1]
+                if len(item) < LEAST_BYTES:
+                    start = end + 1 - done
+                    if (start == 0 or text[start - 1 : start] == b" ") and text[end + 1 : end + 2] in (b"", b" "):
+                        out[i] = 0
+                    continue
                 e = budget(item)
                 lo, hi = max(0, end + 1 - done - e), end + 1 - done + len(item) + e
                 last = stretches[i][-1] if stretches[i] else None

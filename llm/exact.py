@@ -56,6 +56,7 @@ def update_state(spark: SparkSession, path: str, checkpoint: str, digest: Callab
     for name, value in STATE_STORE.items():
         spark.conf.set(name, value)
     try:  # a stream of a single file needs its path as a pattern
+        path = path.rstrip("/")
         stream = (
             spark.readStream.schema(schema or spark.read.parquet(path).schema).option("maxBytesPerTrigger", batch_bytes).parquet(f"{path[:-1]}[{path[-1]}]")
             .select("doc_id", _locator().alias("_at"), digest(normalised()).alias("digest"))

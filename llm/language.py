@@ -194,7 +194,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for start in range(0, batch.num_rows, 1000):
                 yield one(batch.slice(start, 1000))
 
-    plain = docs.select(*named)
+    plain = docs.select(*(F.col(f"`{c}`") for c in named))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields]
     return plain.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double", "rejected boolean"]))
 

@@ -32,6 +32,17 @@ def test_as_the_library_does(spark, odd, chunk, overlap):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("chunk,overlap", [(40, 30), (60, 30), (7, 5)])
+def test_tokens_of_several_white_spaces(odd, chunk, overlap):
+    """A stretch doesn't end where a run of white space is matched by what follows it."""
+    ranks = {bytes([i]): i for i in range(256)} | {b"\n\n": 256, b"  ": 257, b" \n": 258}
+    whole = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [("a" * 18 + "\n\n") * 40, "foo\n\nbar " * 60, "a \n  \n b  c\n\n\n" * 30, " \n" * 200 + "x", "\u2003\u2003y\n\n" * 50]
+    out = encode_documents(odd(*enumerate(rows)), ranks, public_tokenizers.PATTERN, chunk, overlap).collect()
+    for r in out:
+        assert r.ids == ",".join(map(str, whole.encode_ordinary(rows[r.doc_id]))), r.doc_id
+
+
 def test_ids_and_empty_table(spark, odd):
     ranks = read_ranks(spark, PATH)
     out = encode_documents(odd((None, "a b"), (None, "a b")), ranks, public_tokenizers.PATTERN)

@@ -31,7 +31,7 @@ def test_pieces_cover_the_item():
 def test_against_brute_force(spark, odd):
     rnd = random.Random(5)
     items = [" ".join("".join(rnd.choices("abcd", k=rnd.randint(1, 6))) for _ in range(rnd.randint(8, 25))) for _ in range(8)]
-    texts = [None, "", ITEM.upper(), "x " * 2000 + ITEM + " y" * 2000]
+    texts = [None, "", ITEM.upper(), "x " * 2000 + ITEM + " y" * 2000, "a SHORT one", "short", "shorter", "foreshort", "q, short!", "x" * 200_000 + " short"]
     for _ in range(40):
         t = list(rnd.choice(items))
         for _ in range(rnd.randint(0, 12)):
@@ -47,6 +47,8 @@ def test_against_brute_force(spark, odd):
             p = plain(item)
             if len(p) >= 32 and (d := brute(p, plain(text))) <= budget(p):
                 want.append((i if i != 3 else None, d))
+            elif 0 < len(p) < 32 and b" %s " % p in b" %s " % plain(text):
+                want.append((i if i != 3 else None, 0))
         assert sorted(zip(out[n].item_ids, out[n].distances), key=str) == sorted(want, key=str), n
         assert out[n].contaminated == bool(want) and out[n].n_items == len(want)
     assert out[99].item_ids == [11, 12]

@@ -49,3 +49,8 @@ def test_state_goes_on_with_new_files(spark, docs, tmp_path):
     state = update_state(spark, path, checkpoint, batch_bytes=1)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted((r["first"].id, r.n) for r in state.collect()) == sorted({(k, n) for _, k, n, _ in brute(rows)})
+
+
+def test_a_path_with_a_trailing_slash(spark, odd, tmp_path):
+    odd(*ODD).coalesce(1).write.parquet(str(tmp_path / "d"))
+    assert shown(exact_dedup(spark, f"{tmp_path}/d/")) == brute(ODD)

@@ -7,7 +7,13 @@ import tiktoken
 import corpus_pipeline as p
 from llm.edits import budget, least_distance, plain
 from llm.language import identify
-from test_simhash import brute_fingerprint
+
+
+def word_shingles(text):
+    """Five words, A-Z lower-cased; fewer words are one shingle."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -23,18 +29,19 @@ def test_stages_against_brute_force(spark, sf):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", rows[i] or ""), i)
     kept["exact_copies"] = set(first.values())
 
-    fp = {i: brute_fingerprint(rows[i]) for i in sorted(kept["exact_copies"])}
-    root = {i: i for i in fp}
+    sets = {i: word_shingles(rows[i]) for i in sorted(kept["exact_copies"])}
+    root = {i: i for i in sets}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    ids = sorted(fp)
+    ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[:n]:
-            if bin(fp[a] ^ fp[b]).count("1") <= 2:
+            both = sets[a] | sets[b]
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(both):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     kept["near_copies"] = {find(i) for i in ids}
@@ -71,3 +78,16 @@ def test_stages_take_odd_rows(spark, odd, sf):
         out, empty = p.store(stage(spark, out, sf), name), p.store(stage(spark, empty, sf), name)
         assert empty.count() == 0
     assert {r.doc_id for r in out.collect()} <= {1, 3}
+
+
+def test_stages_keep_columns_of_any_name(spark, docs, sf):
+    """Columns that a stage's operator adds under the same name keep their values and types."""
+    from pyspark.sql import functions as F
+
+    names = ("score", "lang_pred", "rejected", "kept", "group_size", "keep_id", "text_sha256", "rid", "digest", "root", "score_given", "a.b")
+    given = docs.withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")) for n in names})
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, given, sf)
+        assert out.columns == given.columns and out.dtypes == given.dtypes, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names), name
