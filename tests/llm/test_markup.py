@@ -71,3 +71,60 @@ def test_copied_articles_and_bodies_stay(spark):
     assert all(out[30 + i] == text for i in range(4))
     assert all(out[40 + i].startswith(text) for i in range(6))
     assert all(out[50 + i] == "short\nbody" for i in range(6))
+
+
+def test_class_names_are_judged_whole():
+    text = "<p>The article's own text.</p>"
+    for shell in ('<div class="site-content no-sidebar">{}</div>', '<article class="post comments-open">{}</article>', '<div class="social-science">{}</div>', '<div class="widget">{}</div>', '<main class="menu">{}</main>'):
+        assert Page(f"<body>{shell.format(text)}<div class='cookie-notice'>We use them</div></body>").text() == "The article's own text.", shell
+    page = "<body><div class='main-menu'>Home</div><div id='page'><p>" + "long text " * 20 + "</p><div class='related-posts'><p>more</p></div></div></body>"
+    assert Page(page).text() == ("long text " * 20).strip()
+
+
+def test_main_text_beside_a_teaser():
+    both = "<main><p>" + "long text " * 20 + "</p><article class='card'><p>teaser</p></article></main>"
+    assert Page(both).text() == ("long text " * 20).strip() + "\nteaser"
+    assert Page("<main><p>by someone</p><article><p>" + "long text " * 20 + "</p></article></main>").text() == ("long text " * 20).strip()
+
+
+def test_time_grows_with_the_length_of_a_page():
+    import time
+
+    n = 60_000
+    pages = ["<div>a" * n, "<b>" + "<article>" + "<div>x" * n + "</b>" * n, "<ul>" + "<div>" * n + "<li>y" * n, "<title>" * n + "z", "<td>" * n + "</p>" * n, "<p>q" * n, "<nav>" + "<i>m" * n, "<div class='ad'>" * n + "w"]
+    for page in pages:
+        start = time.perf_counter()
+        Page(page).text({1})
+        assert time.perf_counter() - start < 20, page[:30]  # quadratic: many minutes
+
+
+def test_host_counts_against_brute_force(spark):
+    """Every host's pages, articles too, against counts made with plain sets."""
+    import math
+    import random
+
+    rnd = random.Random(6)
+    rows = []
+    for host in range(6):
+        boxes = [f"<div class='b{k}'>Box {k} of {host}</div>" for k in range(5)]
+        for i in range(rnd.choice([2, 5, 25])):
+            used = "".join(b for b in boxes if rnd.random() < 0.4)
+            body = f"<p>own words {host} {i} " + "and more of them " * rnd.randint(1, 20) + "</p>"
+            shape = rnd.choice(["<div id='w'>{b}</div>{u}", "<article>{b}{u}</article>", "<main>{b}{u}</main>"])
+            rows += [(len(rows), f"http://h{host}.example/{i}", f"<html><body>{shape.format(b=body, u=used)}</body></html>")] * rnd.choice([1, 1, 2])
+    rows = [(n, u, h) for n, (_, u, h) in enumerate(rows)]
+    pages = [(n, u.split("/")[2], Page(h)) for n, u, h in rows]
+    contents, holders, inside = {}, {}, {}
+    for _, host, page in pages:
+        contents.setdefault(host, set()).add(page.text())
+        for h, i, _ in page.tree()[0]:
+            holders.setdefault((host, h), set()).add(page.text())
+            inside[host, h] = inside.get((host, h), False) or i
+    want = {}
+    for n, host, page in pages:
+        recurring = {h for (x, h), seen in holders.items() if x == host and len(seen) >= max(3, math.ceil(len(contents[host]) * (0.5 if inside[x, h] else 0.1)))}
+        want[n] = page.text(recurring)
+    out = main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert {r.page_id: r.text for r in out} == want and len(out) == len(rows)
+    changed = [n for n, _, page in pages if want[n] != page.text()]
+    assert any("<article>" in rows[n][2] for n in changed) and any("id='w'" in rows[n][2] for n in changed)
