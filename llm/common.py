@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import contextlib
-import io
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
@@ -42,48 +40,48 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _place(df: DataFrame) -> tuple[Column, Column]:
-    """The path of a row's file, and the row's place in it."""
-    at = df.metadataColumn("_metadata")
-    return at["file_path"], at["row_index"]
+def drop_stored(spark: SparkSession) -> None:
+    """Remove all stored intermediate results of the shared folder; what is not yet computed from them is lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(workspace(spark, "x").rpartition("/")[0])
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _files(df: DataFrame) -> list[str] | None:
-    """The paths of the Parquet files whose rows, once each and nothing else, are those of `df`, in order; else None."""
-    text = io.StringIO()
-    with contextlib.redirect_stdout(text):
-        df.explain(True)
-    analyzed = text.getvalue().partition("== Analyzed Logical Plan ==")[2].partition("== Optimized Logical Plan ==")[0]
-    plan = analyzed.strip().split("\n")[1:]
-    if len(plan) != 1 or not (plan[0].startswith("Relation [") and plan[0].endswith("] parquet")):
-        return None
-    file, row = _place(df)
-    found = df.select(file.alias("file"), row.alias("row")).groupBy("file").agg(F.count("*").alias("n"), F.max("row").alias("last")).collect()
-    return sorted(r.file for r in found) if all(r.n == r.last + 1 for r in found) else None
+def is_scan(df: DataFrame) -> bool:
+    """Whether the rows of `df` are those of the Parquet files below one path, once each, so that file and
+    place name a row: its plan is that relation and nothing else."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    relation = plan.relation()
+    return relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat" and relation.location().rootPaths().size() == 1
 
 
-def is_scan(df: DataFrame) -> bool:
-    """Whether each row is the row of a Parquet file, so that its file and place in it name it."""
-    return _files(df) is not None
+#: Bits for a row's place in its file; files of a table, of which every task gets 16 bytes each.
+FILE_ROWS, FILES = 40, 1 << 22
 
 
 def with_row_ids(df: DataFrame, *cols: str | Column, name: str = "rid") -> DataFrame:
     """Chosen columns and `name`, a number of the row that is the same at each evaluation.
 
     It is made of the number of the row's file, in the order of the paths, and the row's place in the
-    file, so it does not depend on how a scan is split. Input that is not read from Parquet files as
-    it is gets stored first.
+    file, so it does not depend on how a scan is split. The files' numbers are a stored table of
+    path hashes, which goes to the tasks: 64 MB at most, as a table with more files than FILES is
+    written anew with fewer. Input that is not read from Parquet files as it is gets stored first.
     """
-    paths = _files(df)
-    if paths is None:
+    if not is_scan(df):
         df = store(df, "numbered")
-        paths = _files(df)
-    path, row = _place(df)
-    rows = df.select(*cols, row.alias(name), path.alias("_file"))
-    file, number = (_unused(n, rows.columns[:-1]) for n in ("_file", "_file_number"))
-    rows = df.select(*cols, row.alias(name), path.alias(file))
-    files = df.sparkSession.createDataFrame(list(enumerate(paths)), f"{number} long, {file} string")
-    return rows.join(F.broadcast(files), file).withColumn(name, F.shiftleft(F.col(number), FILE_ROWS).bitwiseOR(F.col(name))).drop(file, number)
+    at = df.metadataColumn("_metadata")
+    paths = df.select(at["file_path"].alias("path")).distinct()
+    hashed = paths.select(F.xxhash64("path").alias("file"), (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("number"))
+    files = store(hashed, "files")
+    count, kinds = files.agg(F.count("*"), F.count_distinct("file")).first()
+    if count > FILES or kinds < count:  # or two paths with one hash: the new files have other names
+        return with_row_ids(store(df.coalesce(FILES // 2), "numbered"), *cols, name=name)
+    given = df.select(*cols).columns
+    file, number = (_unused(n, [*given, name]) for n in ("_file", "_file_number"))
+    rows = df.select(*cols, at["row_index"].alias(name), F.xxhash64(at["file_path"]).alias(file))
+    joined = rows.join(F.broadcast(files.toDF(file, number)), file)
+    return joined.withColumn(name, F.shiftleft(F.col(number), FILE_ROWS).bitwiseOR(F.col(name))).drop(file, number)
 
 
 def _unused(name: str, columns: list[str]) -> str:
@@ -92,10 +90,6 @@ def _unused(name: str, columns: list[str]) -> str:
     return name
 
 
-#: Bits for a row's place in its file.
-FILE_ROWS = 40
-
-
 def arrow_map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
     """Arrow batches through fn: a dict of column lists to a dict of column lists, arrays or Arrow arrays."""
 
