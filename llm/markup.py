@@ -384,5 +384,9 @@ def main_text(pages: DataFrame) -> DataFrame:
             "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
         }
 
-    wanted = found.select("page_id", "url", "host", "texts", "above", "tree")
-    return arrow_map(wanted.join(recurring_subtrees(found), "host", "left").drop("host"), decide, "page_id long, url string, text string, n_chars long")
+    columns = "page_id long, url string, text string, n_chars long"
+    # only pages that counts can change meet the counts of their host
+    asked = found.filter(F.size("tree") > 0).select("page_id", "url", "host", "texts", "above", "tree")
+    decided = arrow_map(asked.join(recurring_subtrees(found), "host", "left").drop("host"), decide, columns)
+    text = F.col("texts")[0]
+    return found.filter(F.size("tree") == 0).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars")).unionByName(decided)
