@@ -199,17 +199,23 @@ def exposure_features(
     """Wide exposures, one row per unique point and one column per (value, period).
 
     Points and grid months of a cell are laid on one time line and each period is a frame of
-    months ahead of the start, so nothing is repeated per offset: the grid is shuffled once by
-    cell, and only cells that hold a point take part. A missing month is left out of the mean.
+    months ahead of the start, so nothing is repeated per offset: the grid is shuffled by cell,
+    and only cells that hold a point take part. Tables of ``session.colocate`` by cell aren't
+    shuffled at all. A missing month is left out of the mean.
     A point without any grid month in its window has no row, as in the long form.
     """
     periods = list(periods or period_table())
     starts = points.select(*cell, start).distinct()
-    asked = starts.select(*cell, F.col(start).alias(month)).withColumn("_asked", F.lit(True))
+    # A union keeps the partitioning of its parts only if their keys are as nullable as the scanned
+    # columns; a join's keys aren't, but their new names are.
+    named = {c: f"_cell_{c}" for c in cell}
+    asked = starts.select(*cell, F.col(start).alias(month)).withColumnsRenamed(named).withColumn("_asked", F.lit(True))
     series = skew_join(grid.select(*cell, month, *values), starts.select(*cell).distinct(), cell, "left_semi")
     line = (
-        series.withColumn("_asked", F.lit(False))
+        series.withColumnsRenamed(named)
+        .withColumn("_asked", F.lit(False))
         .unionByName(asked, allowMissingColumns=True)
+        .withColumnsRenamed({v: k for k, v in named.items()})
         .groupBy(*cell, month)
         .agg(F.max("_asked").alias("_asked"), F.bool_or(~F.col("_asked")).alias("_known"), *[F.max(v).alias(v) for v in values])
     )

@@ -41,7 +41,7 @@ from ..operators.joins import (
 from ..operators.quality import binned_density, column_means, density_table, describe_table, distinct_count, distinct_values, frequency, histogram, sparse_cells
 from ..operators.quantiles import merged_sketches, outside_quantiles, quantile_bin, quantile_sketches, sketch_quantiles
 from ..operators.series import apply_series
-from ..session import materialize
+from ..session import colocate, materialize
 from .registry import query
 from .roles import (
     ANALYSIS_SQL,
@@ -208,6 +208,15 @@ def trailing_exposure(spark, d):
     return exposure_features(points, anomaly_grid(spark, d), ["spi1", "stdm_t"], TRAILING, ["cell"])
 
 
+@query(_wide_columns(TRAILING), f"WITH {EXPOSURE_BASE} SELECT * FROM ({_wide_sql(TRAILING)})")
+def colocated_exposure(spark, d):
+    """Grid and points in equal buckets of the cell: the exposure moves no row of either."""
+    points = births(spark, d).select("cell", "from_date").distinct()
+    grid = anomaly_grid(spark, d).select("cell", "month", "spi1", "stdm_t")
+    grid, points = colocate(["cell"], grid, points, sort=[["month"], ["from_date"]])
+    return exposure_features(points, grid, ["spi1", "stdm_t"], TRAILING, ["cell"])
+
+
 AVERAGES = [p for p in period_table() if p.stat == "avg"]
 
 

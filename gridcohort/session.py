@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,7 +63,38 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def colocate(
+    by: Sequence[str], *frames: DataFrame, sort: Sequence[Sequence[str]] = (), buckets: int | None = None, rows: int = 1_000_000
+) -> list[DataFrame]:
+    """The frames as intermediate tables in equal buckets of the columns ``by``, for work that is grouped by them.
+
+    Joins, unions, groups and windows by these columns then take a bucket of every table as it
+    lies, so tables that are used several times are shuffled once, here. Each bucket is one file,
+    in the order of ``by`` and of the frame's own ``sort`` columns. ``buckets`` follows from the
+    largest frame, about ``rows`` rows a bucket, if it isn't given. All rows of a key lie in one
+    bucket: use it for keys with a bounded number of rows, such as the months of a cell. Null keys
+    make a key of their own. Floating-point keys gain nothing: groups and joins normalise them first
+    and move the rows again, so number such cells (``operators.cohort.dense_group_id``).
+    """
+    if buckets is None:
+        buckets = max(1, math.ceil(max(f.count() for f in frames) / rows))
+    out = []
+    for i, frame in enumerate(frames):
+        spark, name = frame.sparkSession, f"gridcohort_{uuid.uuid4().hex}"
+        order = [*by, *(sort[i] if i < len(sort) else ())]
+        dealt = frame.repartition(buckets, *by).write.format("parquet").bucketBy(buckets, *by).sortBy(*order)
+        dealt.option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
+        _bucketed.setdefault(spark.sparkContext.applicationId, []).append(name)
+        out.append(spark.table(name))
+    return out
+
+
+_bucketed: dict[str, list[str]] = {}
+
+
 def drop_intermediates(spark: SparkSession) -> None:
     """Remove the session's intermediate tables; results not yet computed from them are lost."""
+    for name in _bucketed.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
