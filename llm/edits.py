@@ -21,7 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from llm.common import arrow_map, with_row_ids
+from llm.common import arrow_map, store, with_row_ids
 
 BYTES_PER_EDIT = 16
 #: Shorter items are found unchanged and as whole words only.
@@ -129,16 +129,24 @@ class Searcher:
         return out
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    block, size = [], 0
+def _blocks(items: DataFrame) -> Iterator[tuple[list[tuple[int, bytes]], bool]]:
+    """Blocks of items and whether one follows; an empty block if there are no items."""
+    ready, block, size = None, [], 0
     for row in items.select("item_id", "text").toLocalIterator():
         item = plain(row["text"])
         block.append((row["item_id"], item))
         size += len(item)
         if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    yield block
+            if ready is not None:
+                yield ready, True
+            ready, block, size = block, [], 0
+    if ready is None:
+        yield block, False
+    elif block:
+        yield ready, True
+        yield block, False
+    else:
+        yield ready, False
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -146,10 +154,12 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     item_ids are the items found, in ascending order (null ids first, one entry for each row of
     `items`), with their distances beside them. Null and empty texts and items match nothing.
+    What one block of items hits is stored before the next one is read, so a benchmark of any size
+    is never on the driver or the executors at once.
     """
     rows = with_row_ids(docs, "doc_id", "text")
     found = None
-    for block in _blocks(items):
+    for block, follows in _blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
         searchers: list[Searcher] = []
 
@@ -164,14 +174,21 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
             return {"rid": pa.array(batch["rid"], pa.int64()), "doc_id": pa.array(batch["doc_id"], pa.int64()), "hits": pa.array(hits, kind)}
 
         part = arrow_map(rows, one, "rid long, doc_id long, hits array<struct<item_id:long,distance:long>>")
-        found = part if found is None else found.union(part).groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.collect_list("hits")).alias("hits"))
+        if follows or found is not None:
+            hit = store(part.filter("size(hits) > 0").select("rid", "hits"), "hits")
+            shared.destroy()
+            found = hit if found is None else found.union(hit)
+    if found is not None:
+        each = found.groupBy("rid").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+        none = F.array().cast("array<struct<item_id:long,distance:long>>")
+        part = rows.select("rid", "doc_id").join(each, "rid", "left").withColumn("hits", F.coalesce("hits", none))
     hits = F.sort_array("hits")
-    return found.select("rid", "doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), hits["item_id"].alias("item_ids"), hits["distance"].alias("distances"))
+    return part.select("rid", "doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), hits["item_id"].alias("item_ids"), hits["distance"].alias("distances"))
 
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, in which no item occurs; rows stay where they are."""
-    for block in _blocks(items):
+    for block, follows in _blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -180,4 +197,7 @@ def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array([not searcher.search(plain(t)) for t in batch.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if follows:
+            docs = store(docs, "clean")
+            shared.destroy()
     return docs
