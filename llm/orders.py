@@ -71,14 +71,16 @@ def by_rarity(tokens: np.ndarray, counts: np.ndarray, bits: int, least: tuple[in
 
 
 def _sets(texts: pa.Array) -> list[np.ndarray]:
-    """Sorted distinct hashes of the word shingles of each text; each distinct word is hashed once."""
-    lower = pc.ascii_lower(texts.fill_null(b"").cast(pa.large_binary()).view(pa.large_string()))
-    parts = pc.ascii_split_whitespace(lower)
+    """Sorted distinct hashes of the word shingles of each text; each distinct word is hashed once.
+
+    Words are lower-cased after the split, which copies them: `ascii_lower` misreads a cast slice.
+    """
+    parts = pc.ascii_split_whitespace(texts.fill_null(b"").cast(pa.large_binary()).view(pa.large_string()))
     flat = parts.flatten()
     some = pc.greater(pc.binary_length(flat), 0)
     offsets = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
     words = flat.filter(some).dictionary_encode()
-    known = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in words.dictionary), np.uint64, len(words.dictionary))
+    known = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in pc.ascii_lower(words.dictionary)), np.uint64, len(words.dictionary))
     h = mix(known)[words.indices.to_numpy()] if len(known) else np.empty(0, np.uint64)
     rolled = np.zeros(len(h), np.uint64)
     for i in range(WIDTH):

@@ -86,5 +86,13 @@ def test_query_against_brute_force(spark, sf, docs):
     assert any(d != c for d, _, c in got)
 
 
+def test_batches_longer_than_a_piece(odd):
+    """Texts past the first piece of an Arrow batch, none of them null, have their own sets."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice("aAbBcCdDeEfF") * (1 + i % 7) for _ in range(1 + i % 40))) for i in range(3 * m.ROWS)]
+    rows += [(10_000 + i, text.swapcase()) for i, text in rows[-50:]]
+    assert result(similar_sets(odd(*rows).coalesce(1))) == brute(rows)
+
+
 def test_empty(docs):
     assert similar_sets(docs.filter("doc_id < 0")).count() == 0
