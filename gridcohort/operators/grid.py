@@ -160,53 +160,37 @@ def gap_fill_linear(
     """Values at scattered months → every month of [first, last], linear in days between
     neighbours and extrapolated from the two outermost known values. A single known value is held constant."""
     keys = list(keys)
-    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(month).alias("t"), F.col(value).alias("v"))
+    kind = dict(df.dtypes)[month]
     start, stop = (F.lit(d).cast("date") for d in (first, last))
-    wanted = (
-        known.select(*keys)
-        .distinct()
-        .select(*keys, F.explode(F.sequence(start, stop, F.expr("interval 1 month"))).alias("t"))
-        .withColumn("wanted", F.lit(True))
-    )
-    merged = (
-        known.withColumn("wanted", F.lit(False))
-        .unionByName(wanted.withColumn("v", F.lit(None).cast("double")))
+    known = (
+        df.filter(F.col(value).isNotNull())
+        .select(*keys, F.col(month).alias("t"), F.col(value).cast("double").alias("v"))
         .groupBy(*keys, "t")
-        .agg(F.max("v").alias("v"), F.max("wanted").alias("wanted"))
+        .agg(F.max("v").alias("v"))
     )
     order = Window.partitionBy(*keys).orderBy("t")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(*keys)
-    point = F.when(F.col("v").isNotNull(), F.struct("t", "v"))
-    # The two first and the two last known points serve the months outside them.
-    marked = merged.select(
-        *keys,
-        "t",
-        "v",
-        "wanted",
-        F.last(point, True).over(back).alias("p"),
-        F.first(point, True).over(ahead).alias("n"),
-        F.min(point).over(everything).alias("lo"),
-        F.max(point).over(everything).alias("hi"),
-    )
-    inner = marked.withColumns(
-        {
-            "lo2": F.min(F.when(F.col("t") > F.col("lo.t"), point)).over(everything),
-            "hi2": F.max(F.when(F.col("t") < F.col("hi.t"), point)).over(everything),
-        }
+    point = F.struct("t", "v")
+    # Only known points are shuffled and sorted: each makes the months from it to the next one, the
+    # first also those before it.
+    placed = known.select(*keys, point.alias("at"), F.lag(point).over(order).alias("p"), F.lead(point).over(order).alias("n"))
+    months = F.sequence(start, stop, F.expr("interval 1 month"))
+    own = F.filter(
+        F.transform(months, lambda m: m.cast(kind)),
+        lambda m: (F.col("p").isNull() | (m >= F.col("at.t"))) & (F.col("n").isNull() | (m < F.col("n.t"))),
     )
+    wanted = placed.withColumn("t", F.explode(own))
 
     def line(a: str, b: str) -> Column:
         slope = (F.col(f"{b}.v") - F.col(f"{a}.v")) / F.datediff(f"{b}.t", f"{a}.t")
         return F.col(f"{a}.v") + slope * F.datediff("t", f"{a}.t")
 
     filled = (
-        F.when(F.col("v").isNotNull(), F.col("v"))
-        .when(F.col("p").isNull(), F.coalesce(line("lo", "lo2"), F.col("lo.v")))
-        .when(F.col("n").isNull(), F.coalesce(line("hi2", "hi"), F.col("hi.v")))
-        .otherwise(line("p", "n"))
+        F.when(F.col("t") == F.col("at.t"), F.col("at.v"))
+        .when(F.col("t") < F.col("at.t"), F.coalesce(line("at", "n"), F.col("at.v")))
+        .when(F.col("n").isNull(), F.coalesce(line("p", "at"), F.col("at.v")))
+        .otherwise(line("at", "n"))
     )
-    return inner.filter("wanted").select(*keys, F.col("t").alias(month), filled.alias(value))
+    return wanted.select(*keys, F.col("t").alias(month), filled.alias(value))
 
 
 def regrid(

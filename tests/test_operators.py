@@ -202,6 +202,18 @@ def test_gap_fill_is_linear_in_days(spark):
     assert (out[out["c"] == 2]["v"] == 3.0).all() and len(out) == 30
 
 
+def test_gap_fill_shuffles_known_points_only(spark):
+    """Months are made after the last exchange and sort, so no task holds them; rows may repeat, keys be null."""
+    known = [(1, "2000-03-01", 3.0), (1, "2000-03-01", 2.0), (1, "2000-01-01", 1.0), (1, "2000-02-01", None), (None, "2000-05-15", 7.0)]
+    df = spark.createDataFrame(known, "c int, m string, v double").select("c", F.col("m").cast("date").alias("month"), "v")
+    out = grid.gap_fill_linear(df, ["c"], "v", "1999-12-01", "2000-04-01")
+    got = {(r.c, str(r.month)[:7]): r.v for r in out.collect()}
+    daily = 2 / 60
+    assert got == pytest.approx({(1, "1999-12"): 1 - 31 * daily, (1, "2000-01"): 1, (1, "2000-02"): 1 + 31 * daily, (1, "2000-03"): 3, (1, "2000-04"): 3 + 31 * daily, **{(None, m): 7 for m in ("1999-12", "2000-01", "2000-02", "2000-03", "2000-04")}})
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" in plan and not any(step in plan.split("Generate")[0] for step in ("Window", "Aggregate", "Join"))
+
+
 def test_bilinear_matches_formula(spark):
     lat, lon = np.meshgrid(np.arange(0, 3, 0.5), np.arange(0, 3, 0.5), indexing="ij")
     src = pd.DataFrame({"lat": lat.ravel(), "lon": lon.ravel(), "month": 1})
