@@ -1,9 +1,12 @@
 """Near copies by the Jaccard similarity of the texts' word shingles.
 
-Candidates meet in the bands of a MinHash signature: two texts of similarity s share one of BANDS
-bands of ROWS minima with probability 1 - (1 - s**ROWS)**BANDS, which leaves out 3 in a million
-pairs at 0.8 and fewer above. Bands with the same members count as one. Every link is checked on
-the whole shingle sets of both texts, so no link is an estimate.
+Candidates are the texts whose SimHash fingerprints, of the same shingles, are joined by links of
+`simhash.THRESHOLD` bits or fewer: such a group is compared like a band. As texts of a similarity of
+0.8 often differ in more bits than its anchors can cover, candidates also meet in the bands of a
+MinHash signature: two texts of similarity s share one of BANDS bands of ROWS minima with
+probability 1 - (1 - s**ROWS)**BANDS, which leaves out 3 in a million pairs at 0.8 and fewer above.
+Bands with the same members count as one. Every link is checked on the whole shingle sets of both
+texts, so no link is an estimate.
 
 Texts of equal sets are combined first. The members of a band are compared in one task, which keeps
 the sets of bounded slots of homes and reads all other members in turn; a member that is linked to a
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from llm.common import arrow_map, id_order, is_scan, rows_of, store, with_row_ids
 from llm.components import components
+from llm.simhash import fingerprint_of, fingerprint_roots
 from llm.windows import BASE, mix
 
 #: Words of a shingle, and the least similarity of near copies as a fraction.
@@ -124,6 +128,13 @@ def jaccard_links(rows: DataFrame, keys: DataFrame, homes: int = HOMES) -> DataF
     return dealt.repartition("key", "slot").sortWithinPartitions("key", "slot", "guest").mapInArrow(_compare, "a long, b long")
 
 
+def _with_groups(keys: DataFrame) -> DataFrame:
+    """(rid, keys) of `keys` (rid, fp, keys), with a key more for the SimHash group of the text."""
+    prints = store(keys.select("fp").distinct(), "fingerprints")
+    group = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp"))
+    return keys.join(fingerprint_roots(prints), "fp", "left").select("rid", F.array_append("keys", group).alias("keys"))
+
+
 def first_of_similar(docs: DataFrame, homes: int = HOMES) -> DataFrame:
     """The rows of `docs`, all columns, one for each group of near copies: the smallest doc_id, then the first row.
 
@@ -136,12 +147,13 @@ def first_of_similar(docs: DataFrame, homes: int = HOMES) -> DataFrame:
         found = [shingles(t) for t in batch["text"]]
         digest = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
         keys = pa.array([bands(s) for s in found], pa.list_(pa.int64()))
-        return {"doc_id": pa.array(batch["doc_id"], pa.int64()), "rid": pa.array(batch["rid"], pa.int64()), "digest": pa.array(digest), "keys": keys}
+        fp = pa.array(np.array([fingerprint_of(s) for s in found], np.uint64).view(np.int64))
+        return {"doc_id": pa.array(batch["doc_id"], pa.int64()), "rid": pa.array(batch["rid"], pa.int64()), "digest": pa.array(digest), "fp": fp, "keys": keys}
 
-    prints = store(arrow_map(rows, one, "doc_id long, rid long, digest long, keys array<long>"), "prints")
+    prints = store(arrow_map(rows, one, "doc_id long, rid long, digest long, fp long, keys array<long>"), "prints")
     firsts = store(prints.groupBy("digest").agg(F.min("rid").alias("first")), "sets")
-    keys = prints.select("rid", "keys").join(firsts.select(F.col("first").alias("rid")), "rid", "left_semi")
-    roots = components(jaccard_links(rows, keys, homes)).withColumnRenamed("node", "first")
+    keys = prints.select("rid", "fp", "keys").join(firsts.select(F.col("first").alias("rid")), "rid", "left_semi")
+    roots = components(jaccard_links(rows, _with_groups(keys), homes)).withColumnRenamed("node", "first")
     named = firsts.join(roots, "first", "left").select("digest", F.coalesce("root", "first").alias("root"))
     kept = prints.select("digest", "doc_id", "rid").join(named, "digest").groupBy("root").agg(F.min(F.struct(id_order().alias("o"), F.col("rid"))).alias("k"))
     return rows_of(docs, kept.select(F.col("k.rid").alias("rid")))

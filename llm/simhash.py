@@ -50,6 +50,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes that are made already, each counted as often as it is given; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 100_000):
+        part = np.ascontiguousarray(hashes[start : start + 100_000])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def _remainders() -> np.ndarray:
     """Of x**i divided by the generator, for each bit i."""
     out = []
@@ -179,6 +188,13 @@ def links(fingerprints: DataFrame, blocks: int = 1, homes: int = HOMES) -> DataF
     return dealt.select("anchor", "slot", "guest", "fp").repartition("anchor", "slot").sortWithinPartitions("anchor", "slot", "guest").mapInArrow(_groups, "a long, b long").distinct()
 
 
+def fingerprint_roots(distinct: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(fp, root) of those of the distinct fingerprints `fp`, a stored table, that are within THRESHOLD bits of another."""
+    if blocks is None:
+        blocks = 1 if distinct.count() < TWO_BLOCKS else 2
+    return components(links(distinct, blocks)).withColumnRenamed("node", "fp")
+
+
 def simhash_components(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """rid, doc_id, fingerprint (16 hex digits), component_id, of every row of `docs`.
 
@@ -192,10 +208,7 @@ def simhash_components(docs: DataFrame, blocks: int | None = None) -> DataFrame:
 
     prints = store(arrow_map(with_row_ids(docs, "doc_id", "text"), one, "doc_id long, rid long, fp long"), "prints")
     distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    if blocks is None:
-        blocks = 1 if distinct.count() < TWO_BLOCKS else 2
-    roots = components(links(distinct, blocks))
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = distinct.join(fingerprint_roots(distinct, blocks), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.join(least, "root").select("fp", "component_id", "root")
     return prints.join(named, "fp").select("rid", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
