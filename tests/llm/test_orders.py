@@ -96,3 +96,47 @@ def test_batches_longer_than_a_piece(odd):
 
 def test_empty(docs):
     assert similar_sets(docs.filter("doc_id < 0")).count() == 0
+
+
+def member(rid, tokens):
+    second, third = (m.by_hash(tokens, seed).tolist() for seed in m.SEEDS)
+    return m.Member({"rid": rid, "part": rid, "n": len(tokens), "second": second, "third": third})
+
+
+def test_one_shared_prefix_token_is_not_enough():
+    """Unlike sets that share a token of each prefix aren't candidates; similar sets always are."""
+    rnd = np.random.default_rng(3)
+    a = np.unique(rnd.integers(0, 1 << 63, 400).astype(np.uint64))
+    hot = np.concatenate([a[np.argsort(m.mix(a ^ seed))[:2]] for seed in m.SEEDS])
+    b = np.unique(np.concatenate([hot, rnd.integers(0, 1 << 63, 400).astype(np.uint64)]))
+    one, other = member(1, a), member(2, b)
+    assert one.second & other.second and one.third & other.third
+    assert not one.may_match(other) and not other.may_match(one)
+    for n in (1, 2, 3, 9, 10, 11, 19, 40, 200):
+        base = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+        for gone in range(n):
+            for added in range(n // 8 + 2):
+                new = np.unique(np.concatenate([base[gone:], rnd.integers(0, 1 << 63, added).astype(np.uint64)]))
+                if m.similar(base, new, m.LEAST):
+                    assert member(1, base).may_match(member(2, new)) and member(2, new).may_match(member(1, base))
+
+
+def test_groups_end_where_sizes_step(spark):
+    """Sets that share a token, but are too unlike in size, are no group; copies of a set count once."""
+    sizes = {1: 10, 2: 11, 3: 13, 4: 40, 5: 44, 6: 48, 7: 60}
+    rows = [(node, n, [7, 8] if node < 6 else [7]) for node, n in sizes.items()]
+    got = m._members(spark.createDataFrame(rows + rows[2:4], "node long, n long, first array<long>")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r.x, r.y, r.size), []).append(r.node)
+    assert sorted(sorted(g) for g in groups.values()) == [[1, 2], [4, 5], [4, 5, 6]]
+    assert all(size == len(g) for (_, _, size), g in groups.items())
+
+
+def test_only_wanted_rows_and_a_few_others_move(spark):
+    rows = spark.range(20_000).selectExpr("id << 40 | id % 7 as rid")
+    wanted = rows.filter("rid % 20 = 0")
+    got = {r.rid for r in m._among(rows, wanted).collect()}
+    some = {r.rid for r in wanted.collect()}
+    assert some <= got and len(got) < 2 * len(some)
+    assert m._among(rows, wanted.limit(0)).count() == 0
